@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose ``column`` holds at most ``most`` bytes, unless one row alone is longer."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column).cast(pa.binary())).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0), dtype=np.int64)
         total, start = np.cumsum(sizes), 0
         while start < len(sizes):
             before = total[start - 1] if start else 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import exact_dedup, line_dedup, packing
+from namefold.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing
 from namefold.llm.common import table
 
 
@@ -31,14 +31,27 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_two_fit": op2_best_two_fit,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A word of the contamination rule, for RE2.
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOW} AS low FROM documents),
@@ -63,4 +76,47 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op9_benchmark_decontamination": f"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+        i AS (
+            SELECT item_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM benchmark),
+        w AS (
+            SELECT DISTINCT item_id, least(len(ws), 13) AS size, array_to_string(ws[s:s + least(len(ws), 13) - 1], ' ') AS words
+            FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+        sizes AS (SELECT DISTINCT size FROM w),
+        places AS (
+            SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS s FROM d JOIN sizes ON len(ws) >= size),
+        hits AS (
+            SELECT doc_id, s, places.size AS size, item_id
+            FROM places JOIN w ON places.size = w.size AND array_to_string(ws[s:s + places.size - 1], ' ') = w.words),
+        hit_words AS (
+            SELECT doc_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + size)) AS place FROM hits) GROUP BY doc_id),
+        found AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS s FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        o AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+            FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (
+            SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+        reach AS (
+            SELECT a AS doc_id, a AS other FROM link
+            UNION
+            SELECT reach.doc_id, b FROM reach JOIN link ON other = a)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(w.doc_id, min(other)), w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY w.doc_id, n""",
 }
