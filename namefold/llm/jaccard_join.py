@@ -2,8 +2,8 @@
 
 The join is a prefix-filtered one with set-relation skipping:
 
-* Equal sets are one node. Tokens (shingles) are ordered rare first: tokens found often in some part of the
-  corpus come last by their count, all others by their hash. Two sets that link share a token in their
+* Equal sets are one node. Tokens (shingles) are ordered rare first: tokens that come often over the whole
+  corpus stand last by their count, all others before them by their hash. Two sets that link share a token in their
   prefixes, and at their first common token both have enough tokens left (the positional bound).
 * Index lists hold the prefix tokens' sets with size and position. Round one verifies each list's pivot
   against the list, so a large group of near copies costs as many checks as it has members.
@@ -36,12 +36,13 @@ from namefold.llm.common import join_hot, mix, shuffle_partitions, slices, store
 CHUNK_TOKENS = 1_500_000
 #: Index entries of one part, which one task sorts.
 PART_ENTRIES = 1_500_000
-#: A token is frequent from this share of all tokens on, so at most so many are frequent (16 MB as broadcast).
-FREQUENT_SHARE = 1 << 21
+#: A token is frequent if it comes so often, and at most so many (16 MB) are, those that come most. Other tokens
+#: are ordered by hash, which changes no result: any one order of all tokens is exact.
+FREQUENT, MOST_FREQUENT = 4, 1 << 21
 #: Partners of one pivot that are verified together.
 PIVOT_CHUNK = 256
 #: Rows of routes that are broadcast at most (of 40 bytes or so); more meet the documents in a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 _LOW = bytes.maketrans(b"\t\n\x0b\x0c\r" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
 
@@ -92,39 +93,70 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (3 * (a + b) + 6) // 7
 
 
-def sets_and_counts(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: (doc_id, n, node) of each row, and (token, n) of tokens frequent in a chunk (kind 1)."""
-    schema = "kind int, doc_id long, n long, node long, token long"
+def sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, node) of each row; a null node where there are no shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            size, node = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            for row, values in _sets(batch, width):
+                size[row], node[row] = len(values), node_of(values)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(size), "node": pa.array(node, mask=size == 0)})
+
+    return docs.mapInArrow(run, "doc_id long, n long, node long")
+
+
+def _short(token: np.ndarray, parts: int) -> np.ndarray:
+    """A token as its part and 32 bits. It only orders tokens and gathers candidates, which are verified in full."""
+    part = (token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return part << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+
+
+def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
+    """Short tokens that come FREQUENT times or more over all documents, rarest first; the MOST_FREQUENT ones at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def frequent() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
+        def flush() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)  # short tokens sort by part
             held.clear()
-            often = n >= 3
-            k = int(often.sum())
-            none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(k, dtype=np.int32)), "doc_id": none, "n": pa.array(n[often].astype(np.int64)), "node": none, "token": pa.array(token[often].view(np.int64))})
+            part, cut = np.unique((token >> np.uint64(32)).astype(np.int32), return_index=True)
+            ends = np.append(cut[1:], len(token))
+            blobs = [[x[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)] for x in (token, n)]
+            return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "token": pa.array(blobs[0], pa.binary()), "n": pa.array(blobs[1], pa.binary())})
 
         for batch in slices(batches, "text", 4 << 20):
-            size, node = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
-            for row, values in _sets(batch, width):
-                size[row], node[row] = len(values), node_of(values)
-                held.append(values)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(size), dtype=np.int32)), "doc_id": batch.column("doc_id"), "n": pa.array(size), "node": pa.array(node, mask=size == 0), "token": pa.nulls(len(size), pa.int64())})
+            words = word_hashes(b" ".join(texts(batch.column("text"))).translate(_LOW))[2]
+            held.append(_short(windows(words, width), parts))  # a few cross two texts; this only orders tokens
             if sum(map(len, held)) > CHUNK_TOKENS:
-                yield frequent()
+                yield flush()
         if held:
-            yield frequent()
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["part"], []).append(tuple(np.frombuffer(row[c], dtype=np.uint32) for c in ("token", "n")))
+        for part in list(held):
+            token, n = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
+            order = np.argsort(token, kind="stable")
+            token, n = token[order], n[order]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            total = np.add.reduceat(n.astype(np.int64), first)
+            often = total >= FREQUENT
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token[first][often].astype(np.int64) | np.int64(part) << np.int64(32)), "n": pa.array(total[often])})
 
-    return docs.mapInArrow(run, schema)
+    counted = docs.select("text").mapInArrow(run, "part int, token binary, n binary").repartition(parts, "part").mapInArrow(count, "token long, n long")
+    most = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
+    return most.column("token").to_numpy()[::-1].astype(np.uint64)
 
 
 def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -> DataFrame:
     """Prefix entries dealt by token over parts, as one row per chunk of texts and part.
 
-    ``frequent`` holds the frequent tokens, rarest first. Equal sets of a chunk are indexed once.
+    ``frequent`` holds the frequent short tokens of these parts, rarest first. Equal sets of a chunk are indexed once.
     """
     by_value = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value + 1))
@@ -138,15 +170,16 @@ def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -
             size = np.array([len(x) for x in sets], dtype=np.int64)
             token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             if len(values):
-                at = np.minimum(np.searchsorted(values, token), len(values) - 1)
-                rank = np.where(values[at] == token, ranks[at], 0)
+                short = _short(token, parts)
+                at = np.minimum(np.searchsorted(values, short), len(values) - 1)
+                rank = np.where(values[at] == short, ranks[at], 0)
                 order = np.argsort(owner * (len(values) + 1) + rank, kind="stable")
                 token = token[order]
             first = np.cumsum(size) - size
             pos = np.arange(len(token)) - first[owner]
             prefix = pos <= (size - (3 * size + 3) // 4)[owner]
             token, owner, pos = token[prefix], owner[prefix], pos[prefix]
-            part = ((token >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            part = (_short(token, parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             token, owner, pos, part = token[order], owner[order], pos[order], part[order]
             which, cut = np.unique(part, return_index=True)
@@ -244,7 +277,7 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> D
         routes = F.broadcast(routes)
     sent = docs.join(routes, docs["doc_id"] == routes["rep"]).select("text", "node", "to")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             node, to = batch.column("node").to_pylist(), batch.column("to").to_pylist()
             columns: list[list] = [[], [], [], [], []]
@@ -280,7 +313,7 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> D
             yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("p", "x", "inter", "np", "nx"), columns, strict=True)})
 
     tasks = max(shuffle_partitions(spark), total // 5_000)
-    met = sent.mapInArrow(sets, "p long, chunk long, side int, node long, hashes binary").repartition(tasks, "p", "chunk").sortWithinPartitions("p", "chunk", "side")
+    met = sent.mapInArrow(send, "p long, chunk long, side int, node long, hashes binary").repartition(tasks, "p", "chunk").sortWithinPartitions("p", "chunk", "side")
     return stored(met.mapInArrow(meet, "p long, x long, inter long, np long, nx long"))
 
 
@@ -346,14 +379,11 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the least doc_id reachable over links."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = stored(sets_and_counts(docs, width))
-    rows = first.where("kind = 0").select("doc_id", "n", "node")
+    rows = stored(sets(docs, width))
     total_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    bar = max(8, total // FREQUENT_SHARE)
-    often = first.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= bar).orderBy("n", "token").select("token").toArrow()
-    frequent = often.column("token").to_numpy().view(np.uint64)
     parts = max(shuffle_partitions(spark), -(-total * 27 // 100 // PART_ENTRIES))
+    frequent = frequent_tokens(docs, width, parts)
     found = stored(lists(index_blobs(docs, width, frequent, parts), parts))
     pairs = stored(found.where("kind = 0").select("p", "x").distinct())
     checked = verify(docs, pairs, nodes, width)
