@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namefold.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, packing
+from namefold.llm import chat, decontaminate, exact_dedup, jaccard_join, line_dedup, packing, quality, toxicity, url_filter, warc
 from namefold.llm.common import table
 
 
@@ -18,19 +18,42 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.packed(table(spark, sf_dir, "documents"), word_tokenizer())
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(more))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op6_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,9 +63,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_two_fit": op2_best_two_fit,
+    "op3_chat_format": op3_chat_format,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_model": op6_url_model,
     "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -119,4 +147,32 @@ ORACLE_SQL: dict[str, str] = {
             SELECT reach.doc_id, b FROM reach JOIN link ON other = a)
         SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(w.doc_id, min(other)), w.doc_id) AS component_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY w.doc_id, n""",
+    "op3_chat_format": """
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        e AS (
+            SELECT *, length(x) + length(regexp_replace(x, '[^\\\\]', '', 'g'))
+                      + len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 3) = '###'))
+                      + len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 7) = '</turn>')) AS n
+            FROM (SELECT *, unnest([r, t]) AS x, unnest([length(r) - length(replace(r, ':', '')), 0]) AS colons FROM c)),
+        s AS (SELECT conv_id, sum(n + colons) AS n FROM e GROUP BY conv_id)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+               CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+               CAST(14 * count(*) + any_value(s.n) AS BIGINT) AS formatted_chars
+        FROM c JOIN s USING (conv_id) GROUP BY conv_id""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        h AS (SELECT *, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+        d AS (
+            SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST((CAST('0x' || substr(hex, 1 + 5 * CAST(floor(i / 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS digest
+            FROM h)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d""",
 }
