@@ -60,6 +60,19 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
     return salted.join(groups.withColumn("_salt", every), [key, "_salt"], how).drop("_salt")
 
 
+#: Keys of a filter that are broadcast at most (8 to 16 MB); a longer list meets the rows in a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` less those whose keys are in ``gone``; null equals null. A short list of keys is broadcast."""
+    gone = stored(gone.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct())
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    same = [rows[k].eqNullSafe(gone[f"_{k}"]) for k in keys]
+    return rows.join(gone, same, "left_anti")
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of each text, b'' for null, without decoding."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

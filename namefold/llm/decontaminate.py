@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import slices, texts, windows, word_hashes
+from namefold.llm.common import slices, texts, windows, without, word_hashes
 
 #: Bytes of benchmark text that are indexed and sent to the workers at a time.
 BLOCK_BYTES = 4 << 20
@@ -158,7 +158,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[Block]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted), contaminated."""
+    """Per row of ``docs``: doc_id, row (a hash of its text), n_words, n_hit, items (sorted), contaminated."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = []
     for block in _blocks(benchmark, size):
@@ -167,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     if not blocks:
         blocks.append(_scan(docs, Block([], [], size)))
     if len(blocks) == 1:
-        return blocks[0].select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_hit"), "items").transform(_judged)
+        return blocks[0].select("doc_id", "row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_hit"), "items").transform(_judged)
     # Blocks meet by row; equal rows have equal answers, so each answer counts once for each block.
     every = blocks[0]
     for block in blocks[1:]:
@@ -182,9 +182,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
             end = max(end, b)
         items = sorted({x for row in group.column("items").to_pylist() for x in row})
         k = group.num_rows // n
-        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * k, pa.int64()), "n_words": pa.array([group.column("n_words")[0].as_py()] * k, pa.int64()), "n_hit": pa.array([hit] * k, pa.int64()), "items": pa.array([items] * k, pa.list_(pa.string()))})
+        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * k, pa.int64()), "row": pa.array([group.column("row")[0].as_py()] * k, pa.int64()), "n_words": pa.array([group.column("n_words")[0].as_py()] * k, pa.int64()), "n_hit": pa.array([hit] * k, pa.int64()), "items": pa.array([items] * k, pa.list_(pa.string()))})
 
-    return every.groupBy("doc_id", "row").applyInArrow(merge, "doc_id long, n_words long, n_hit long, items array<string>").transform(_judged)
+    return every.groupBy("doc_id", "row").applyInArrow(merge, "doc_id long, row long, n_words long, n_hit long, items array<string>").transform(_judged)
 
 
 def _judged(df: DataFrame) -> DataFrame:
@@ -224,6 +224,13 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
     return docs.withColumn("row", F.xxhash64("text")).mapInArrow(run, "doc_id long, row long, n_words long, spans array<struct<at:long,n:long>>, items array<string>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    bad = contamination(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("id"), F.col("row").alias("text_hash"))
+    marked = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    return without(marked, bad, "id", "text_hash").select("kept.*")
+
+
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = contamination(docs, benchmark)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")

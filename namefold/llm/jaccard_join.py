@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import join_hot, mix, shuffle_partitions, slices, stored, texts, windows, word_hashes
+from namefold.llm.common import join_hot, mix, shuffle_partitions, slices, stored, texts, windows, without, word_hashes
 
 #: Tokens that a task orders and deals at a time.
 CHUNK_TOKENS = 1_500_000
@@ -417,3 +417,19 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
     named = stored(join_hot(named.select("node", "copies", "root"), least, "root", "members", total_rows).select("node", "copies", "component_id"))
     out = join_hot(rows, named, "node", "copies", total_rows, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the least doc_id of each component; others go.
+
+    A repeated doc_id stays once; rows without an id stay.
+    """
+    found = join(docs, width)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("id"))
+    marked = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("id"))
+    left = without(marked, gone, "id")
+    repeated = stored(marked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id"))
+    if repeated.head(1):
+        single = without(left, repeated, "id")
+        left = single.unionByName(left.join(repeated, "id", "left_semi").dropDuplicates(["id"]).select(*single.columns))
+    return left.select("kept.*")

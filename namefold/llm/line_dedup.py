@@ -92,6 +92,16 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataF
     return joined.mapInArrow(run, f"{schema}, kept_text string, n_lines long, n_dropped long")
 
 
+def clean(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
+    """The rows of ``docs`` with the lines that stay as ``text``, and ``n_chars``, if there, of that text."""
+    out = drop_lines(docs, min_docs, min_chars)
+    cut = F.col("n_dropped") > 0
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*docs.columns)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of ``drop_lines``."""
     out = drop_lines(docs.select("doc_id", "text"))

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 
 from namefold.llm.learning import Remembered, fold, labelled_sample, scored
 
-BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-4
+BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-3
 #: Documents learned from, and buckets kept, at most; a bucket is in so many of those documents at least.
-SAMPLE, TERMS, LEAST = 8000, 4000, 3
+SAMPLE, TERMS, LEAST = 8000, 300, 3
 #: A toxic document counts as often as clean ones outnumber it, up to this.
 MOST_BALANCE = 8.0
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
