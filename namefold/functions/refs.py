@@ -61,13 +61,19 @@ def resolved(df: DataFrame, keys: list[str], mapping: DataFrame, prefix: str, **
     ``to`` is the image of an obfuscated reference, null if it has none, and the reference itself if it is
     not obfuscated. The mapping meets the exploded references in one join, which broadcasts it when small.
     """
-    items = [F.transform(array, lambda x, i, n=name: F.struct(F.lit(n).alias("kind"), i.alias("pos"), x.alias("ref"))) for name, array in arrays.items()]
+    def tagged(name: str, array: Column) -> Column:
+        return F.transform(array, lambda x, i: F.struct(F.lit(name).alias("kind"), i.alias("pos"), x.alias("ref")))
+
+    def untagged(name: str) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["kind"] == name), lambda x: F.struct(x["ref"].alias("ref"), x["to"].alias("to"))).alias(name)
+
+    items = [tagged(name, array) for name, array in arrays.items()]
     items = [F.coalesce(x, F.array().cast("array<struct<kind:string,pos:int,ref:string>>")) for x in items]
     rows = df.select(*keys, F.explode_outer(F.concat(*items)).alias("_x")).select(*keys, "_x.kind", "_x.pos", "_x.ref")
     images = mapping.select(F.col("a").alias("ref"), F.col("b").alias("_b"))
     rows = rows.join(images, "ref", "left").withColumn("to", F.when(F.col("ref").startswith(prefix), F.col("_b")).otherwise(F.col("ref")))
     back = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("kind", "pos", "ref", "to"))).alias("_all"))
-    made = [F.transform(F.filter("_all", lambda x, n=name: x["kind"] == n), lambda x: F.struct(x["ref"].alias("ref"), x["to"].alias("to"))).alias(name) for name in arrays]
+    made = [untagged(name) for name in arrays]
     return back.select(*keys, *made)
 
 

@@ -46,7 +46,11 @@ class Project:
     def edges(self) -> DataFrame:
         """Distinct (src, dst, kind) whose both ends are classes of the build."""
         kinds = {"extends": F.array("super"), "implements": F.col("impls"), "call": F.col("calls"), "field_access": F.col("facc"), "type_ref": F.col("trefs"), "annotation": F.col("anns")}
-        every = F.flatten(F.array(*(F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda r, k=k: F.struct(r.alias("dst"), F.lit(k).alias("kind"))) for k, x in kinds.items())))
+
+        def tagged(kind: str, targets: Column) -> Column:
+            return F.transform(F.coalesce(targets, F.array().cast("array<string>")), lambda r: F.struct(r.alias("dst"), F.lit(kind).alias("kind")))
+
+        every = F.flatten(F.array(*(tagged(kind, targets) for kind, targets in kinds.items())))
         raw = self.classes.select(F.col("cid").alias("src"), F.explode(every).alias("e")).select("src", "e.dst", "e.kind").where("dst is not null")
         return self._keep(raw.join(self.classes.select(F.col("cid").alias("dst")), "dst", "left_semi").select("src", "dst", "kind").distinct())
 
