@@ -41,6 +41,10 @@ PART_ENTRIES = 1_500_000
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
 #: Partners of one pivot that are verified together.
 PIVOT_CHUNK = 256
+#: Open pairs of one list, at most, that are verified one by one; beyond, its pivot's lists are counted in blocks.
+LIST_PAIRS = 4096
+#: Tokens of one block of sets.
+BLOCK_TOKENS = 400_000
 #: Rows of routes that are broadcast at most (of 40 bytes or so); more meet the documents in a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -263,44 +267,54 @@ def lists(blobs: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition(parts, "part").mapInArrow(run, "kind int, p long, x long, lid long, n long, pos long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(p, x, inter, np, nx) of distinct ``pairs`` (p, x): each pivot's set meets its partners' sets, in chunks."""
-    spark = docs.sparkSession
-    chunks = pairs.groupBy("p").agg(F.ceil(F.count("*") / PIVOT_CHUNK).alias("chunks"), F.count("*").alias("n_pairs"))
-    total = pairs.count()
-    routed = join_hot(pairs, chunks, "p", "n_pairs", total).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")))
-    partners = routed.select(F.col("x").alias("node"), "p", "chunk", F.lit(1).alias("side"))
-    pivots = routed.select(F.col("p").alias("node"), "p", "chunk", F.lit(0).alias("side")).distinct()
-    routes = partners.unionByName(pivots).join(nodes.select("node", "rep"), "node")
-    routes = stored(routes.groupBy("rep", "node").agg(F.collect_list(F.struct("p", "chunk", "side")).alias("to")))
-    if routes.count() <= BROADCAST_ROWS and total <= BROADCAST_ROWS:
+def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(key, chunk, side, comp, node, hashes): the set of each node, once for each of its routes.
+
+    ``routes`` is (node, key, chunk, side, comp). The routes meet the documents by broadcast if they are few.
+    """
+    routes = routes.join(nodes.select("node", "rep"), "node")
+    routes = stored(routes.groupBy("rep", "node").agg(F.collect_list(F.struct("key", "chunk", "side", "comp")).alias("to")))
+    rows, total = routes.agg(F.count("*"), F.coalesce(F.sum(F.size("to")), F.lit(0))).first()
+    if max(rows, total) <= BROADCAST_ROWS:
         routes = F.broadcast(routes)
-    sent = docs.join(routes, docs["doc_id"] == routes["rep"]).select("text", "node", "to")
+    found = docs.join(routes, docs["doc_id"] == routes["rep"]).select("text", "node", "to")
+    names, kinds = ("key", "chunk", "side", "comp", "node", "hashes"), (*[pa.int64()] * 5, pa.binary())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             node, to = batch.column("node").to_pylist(), batch.column("to").to_pylist()
-            columns: list[list] = [[], [], [], [], []]
+            rows: list[tuple] = []
             for row, values in _sets(batch, width):
                 if node_of(values) == node[row]:  # rows that repeat a doc_id may hold another text
                     blob = values.tobytes()
                     for t in to[row]:
-                        for column, value in zip(columns, (t["p"], t["chunk"], t["side"], node[row], blob), strict=True):
-                            column.append(value)
-                        if len(columns[0]) >= 200:
-                            yield batch_of(columns)
-                            columns = [[], [], [], [], []]
-            yield batch_of(columns)
+                        rows.append((t["key"], t["chunk"], t["side"], t["comp"], node[row], blob))
+                        if len(rows) >= 200:
+                            yield batch_of(rows)
+                            rows = []
+            yield batch_of(rows)
+
+    return found.mapInArrow(send, "key long, chunk long, side long, comp long, node long, hashes binary")
 
-    def batch_of(columns: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("p", "chunk", "side", "node", "hashes"), columns, kinds, strict=True)})
+
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(p, x, inter, np, nx) of distinct ``pairs`` (p, x): each pivot's set meets its partners' sets, in chunks."""
+    spark = docs.sparkSession
+    chunks = pairs.groupBy("p").agg(F.ceil(F.count("*") / PIVOT_CHUNK).alias("chunks"), F.count("*").alias("n_pairs"))
+    total = pairs.count()
+    routed = join_hot(pairs, chunks, "p", "n_pairs", total).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")))
+    one = lambda node, side: routed.select(F.col(node).alias("node"), F.col("p").alias("key"), "chunk", F.lit(side).cast("long").alias("side"), F.lit(0).cast("long").alias("comp"))
+    sent = _sent(docs, one("x", 1).unionByName(one("p", 0).distinct()), nodes, width)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivot, done = None, np.empty(0, dtype=np.uint64), set()
         for batch in batches:
             rows = []
-            for p, chunk, side, node, blob in zip(*(batch.column(c).to_pylist() for c in ("p", "chunk", "side", "node")), batch.column("hashes"), strict=True):
+            for p, chunk, side, node, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "side", "node")), batch.column("hashes"), strict=True):
                 values = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
                 if side == 0:
                     at, pivot, done = (p, chunk), values, set()
@@ -313,10 +327,70 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> D
             yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("p", "x", "inter", "np", "nx"), columns, strict=True)})
 
     tasks = max(shuffle_partitions(spark), total // 5_000)
-    met = sent.mapInArrow(send, "p long, chunk long, side int, node long, hashes binary").repartition(tasks, "p", "chunk").sortWithinPartitions("p", "chunk", "side")
+    met = sent.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk", "side")
     return stored(met.mapInArrow(meet, "p long, x long, inter long, np long, nx long"))
 
 
+def block_links(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    """Linked pairs of ``sets`` (of both sides, if ``cross``) that tie the components ``comp`` together.
+
+    The sets of the largest component are asked by the others only.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    names, number, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    group = number.copy()
+    out = []
+    for x in np.flatnonzero(number != np.argmax(counts)).tolist():
+        low, high = np.searchsorted(token, sets[x], "left"), np.searchsorted(token, sets[x], "right")
+        span = high - low
+        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+        inter = np.bincount(owner[at], minlength=len(sets))
+        near = (100 * inter >= 75 * (size + size[x] - inter)) & (group != group[x])
+        if cross:
+            near &= side != side[x]
+        for y in np.flatnonzero(near).tolist():
+            if group[y] != group[x]:
+                out.append((x, y))
+                group[group == group[y]] = group[x]
+    return out
+
+
+def cluster_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links (u, v) among the distinct ``members`` (p, node, n, comp) of each pivot p, found in blocks of sets."""
+    spark = docs.sparkSession
+    per = members.groupBy("p").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.count("*").alias("members"))
+    dealt = join_hot(members, per, "p", "members", max(members.count(), 1)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    routes = met.select("node", F.col("p").alias("key"), (low * F.col("blocks") + high).alias("chunk"), (F.when(low == high, 2).otherwise((F.col("block") == high).cast("int"))).cast("long").alias("side"), "comp")
+    sent = _sent(docs, routes, nodes, width)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            if len(held) > 1:
+                node = list(held)
+                side = np.array([held[k][0] for k in node])
+                rows = [(node[i], node[j]) for i, j in block_links([held[k][2] for k in node], side, np.array([held[k][1] for k in node]), bool((side < 2).any()))]
+            return pa.RecordBatch.from_pydict({"u": pa.array([r[0] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], pa.int64())})
+
+        for batch in batches:
+            for key, chunk, side, comp, node, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "side", "comp", "node")), batch.column("hashes"), strict=True):
+                if at != (key, chunk):
+                    yield flush()
+                    at, held = (key, chunk), {}
+                held[node] = (side, comp, np.frombuffer(blob.as_buffer(), dtype=np.uint64))
+        yield flush()
+
+    dealt_out = sent.repartition(shuffle_partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")
+    return stored(dealt_out.mapInArrow(meet, "u long, v long"))
+
+
 def _forest(links: DataFrame) -> DataFrame:
     """The links of each task, reduced to a forest that connects as much."""
 
@@ -395,8 +469,11 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
     entries = entries.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     entries = entries.join(checked.select("p", F.col("x").alias("node"), "inter"), ["p", "node"], "left")
     entries = stored(entries.withColumn("inter", F.when(F.col("p") == F.col("node"), F.col("n")).otherwise(F.col("inter"))))
-    mixed = entries.groupBy("lid").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("lid", "members")
+    per_list = entries.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.count("*").alias("comps"), F.sum("m").alias("members"))
+    mixed = per_list.where("comps > 1").select("lid", "members", ((F.col("comps") - 1) * F.col("members") > LIST_PAIRS).alias("many"))
     entries = stored(join_hot(entries, mixed, "lid", "members", max(entries.count(), 1)))
+    members = stored(entries.where("many").groupBy("p", "node").agg(F.max("n").alias("n"), F.max("comp").alias("comp")))
+    entries = entries.where("not many")
     blocks = entries.groupBy("lid", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
     a, b = (blocks.select("lid", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "lo", "hi", "room"))) for s in "ab")
     both = a.join(b, "lid").where("comp_a < comp_b").where((4 * F.col("hi_a") >= 3 * F.col("lo_b")) & (4 * F.col("hi_b") >= 3 * F.col("lo_a")))
@@ -409,9 +486,11 @@ def join(docs: DataFrame, width: int = 5) -> DataFrame:
     open_pairs = open_pairs.where(through.isNull() | (through >= need))
     open_pairs = open_pairs.select(F.least("node_a", "node_b").alias("p"), F.greatest("node_a", "node_b").alias("x")).distinct()
     rest = stored(open_pairs.join(pairs, ["p", "x"], "left_anti"))
-    more = _linked(verify(docs, rest, nodes, width)) if rest.head(1) else None
-    if more is not None and more.head(1):
-        tied = stored(components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(more)))
+    more = [_linked(verify(docs, rest, nodes, width))] if rest.head(1) else []
+    more += [cluster_links(docs, members, nodes, width)] if members.head(1) else []
+    for found in more:
+        if found.head(1):
+            tied = stored(components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(found)))
     named = nodes.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
     named = stored(join_hot(named.select("node", "copies", "root"), least, "root", "members", total_rows).select("node", "copies", "component_id"))
