@@ -186,7 +186,8 @@ def contained_strings(min_strings: int = 3, ratio: float = 0.8, b_to_a: float =
 
     def propose(a: Project, b: Project) -> DataFrame:
         tokens = lambda p: p.strings.where(F.length("s") >= 8)
-        met = P.overlaps(tokens(a), tokens(b)).where((F.col("na") >= min_strings) & (F.col("nb") >= b_to_a * F.col("na")))
+        need = F.greatest(F.lit(min_strings), (ratio * F.col("n")).cast("int"))
+        met = P.overlaps(tokens(a), tokens(b), need).where((F.col("na") >= min_strings) & (F.col("nb") >= b_to_a * F.col("na")))
         met = met.where(F.col("n") >= F.greatest(F.lit(min_strings), (ratio * F.col("na")).cast("int")))
         share = F.col("n") / F.col("na")
         return met.select("a", "b", F.least(0.65 + 0.15 * (share - ratio) / (1 - ratio + 1e-9), F.lit(0.85)).alias("confidence"))

@@ -77,18 +77,32 @@ def unique_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("s").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1").select("s", "cid")
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, n, na, nb): shared tokens and set sizes of the pairs of distinct (cid, s) rows that share any."""
-    shared = a.withColumnRenamed("cid", "a").join(b.withColumnRenamed("cid", "b"), "s").groupBy("a", "b").agg(F.count("*").alias("n"))
-    na, nb = (x.groupBy(F.col("cid").alias(k)).agg(F.count("*").alias(f"n{k}")) for x, k in ((a, "a"), (b, "b")))
-    return shared.join(na, "a").join(nb, "b")
+def overlaps(a: DataFrame, b: DataFrame, need_a: Column, need_b: Column | None = None) -> DataFrame:
+    """(a, b, n, na, nb): shared tokens and set sizes of pairs of distinct (cid, s) rows.
+
+    ``need_a`` tells, from the set's size ``n``, the least overlap that matters for a set of side a, ``need_b``
+    likewise for side b. A pair with such an overlap shares one of the n - need + 1 rarest tokens of each set,
+    so only those tokens meet, and candidates are then counted in full. Without ``need_b`` the B sets are whole.
+    """
+    rarity = a.select("s").unionByName(b.select("s")).groupBy("s").agg(F.count("*").alias("f"))
+
+    def prefix(tokens: DataFrame, need: Column | None, name: str) -> tuple[DataFrame, DataFrame]:
+        sets = tokens.join(rarity, "s").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("xs"))
+        sets = sets.select(F.col("cid").alias(name), F.transform("xs", lambda x: x["s"]).alias(f"s{name}"), F.size("xs").alias("n"))
+        kept = F.col(f"s{name}") if need is None else F.slice(f"s{name}", F.lit(1), F.greatest(F.lit(0), F.col("n") - need.cast("int") + 1))
+        return sets.select(name, f"s{name}", F.col("n").alias(f"n{name}")), sets.select(name, F.explode(kept).alias("s"))
+
+    (sets_a, few_a), (sets_b, few_b) = prefix(a, need_a, "a"), prefix(b, need_b, "b")
+    met = few_a.join(few_b, "s").select("a", "b").distinct().join(sets_a, "a").join(sets_b, "b")
+    return met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), "na", "nb")
 
 
 def jaccard(a: DataFrame, b: DataFrame, least: float, min_overlap: int, base: float, rise: float, flat: float) -> DataFrame:
     """Pairs with a Jaccard coefficient of at least ``least``; the confidence rises from ``base`` by ``rise``."""
+    need = F.greatest(F.lit(min_overlap), F.ceil(least * F.col("n") - 1e-9))
     j = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
     conf = F.lit(flat) if least >= 1 else base + rise * (F.col("j") - least) / (1 - least)
-    return overlaps(a, b).where(F.col("n") >= min_overlap).withColumn("j", j).where(F.col("j") >= least).select("a", "b", conf.alias("confidence"))
+    return overlaps(a, b, need, need).where(F.col("n") >= min_overlap).withColumn("j", j).where(F.col("j") >= least).select("a", "b", conf.alias("confidence"))
 
 
 def top_votes(votes: DataFrame, min_votes: int, margin: int) -> DataFrame:

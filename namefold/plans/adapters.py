@@ -65,6 +65,7 @@ class Graph:
         # The order of lines must not depend on renamed keys.
         xs = F.array_sort("xs", lambda x, y: F.when(x["n"] < y["n"], -1).when(x["n"] > y["n"], 1).when(x["pa"] < y["pa"], -1).when(x["pa"] > y["pa"], 1).when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0))
         orders = self.t["orders"].join(lines.withColumn("xs", xs), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        orders = orders.withColumn("xs", F.coalesce("xs", F.filter(F.array(F.col("xs")[0]), lambda x: F.lit(False))))
         sig = lambda x: F.concat(F.lit("m("), x["p"], F.lit("I)"), x["s"])
         orders = orders.select(
             self.ref("o", "o_orderkey", side).alias("id"), self.ref("c", "o_custkey", side).alias("super"),
