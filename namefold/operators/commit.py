@@ -50,14 +50,15 @@ def admissible(candidates: DataFrame, a: Project, b: Project, negatives: DataFra
 
 def greedy_matching(rows: DataFrame, order: list) -> DataFrame:
     """The one-to-one greedy matching of distinct (a, b, ...) rows in a total order, by locally first rows."""
-    accepted, left = None, stored(rows)
-    while left.head(1):
-        first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order)) == 1
-        marked = left.withColumn("_fa", first("a")).withColumn("_fb", first("b"))
-        taken = stored(marked.where("_fa and _fb").drop("_fa", "_fb"))
+    first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order)) == 1
+    accepted, left = None, rows
+    while True:
+        marked = stored(left.withColumn("_taken", first("a") & first("b")))
+        taken = marked.where("_taken").drop("_taken")
         accepted = taken if accepted is None else accepted.unionByName(taken)
-        left = stored(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
-    return left if accepted is None else accepted
+        left = marked.where("not _taken").drop("_taken").join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").select(*rows.columns)
+        if not left.head(1):
+            return accepted
 
 
 def commit(state: State, candidates: DataFrame, a: Project, b: Project, margin: float = MARGIN, provenance: str = "reference") -> tuple[State, DataFrame]:

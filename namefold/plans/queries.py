@@ -335,8 +335,18 @@ def engine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     use = [m for m in content.content_matchers() if m.id in ("fqn_stable", "unique_string", "strings_plus_refs")]
     use += [m for m in structure.structure_matchers() if m.id in ("lockstep_n2", "reverse_lockstep_n2", "super_lx_vote_n2", "field_position_lx_vote_n1", "implemented_by_lockstep_n1", "neighbour_vote_w_n4")]
-    result = Engine(*g.projects(), matchers=use, batch_sweeps=True, tier3_max_iters=4, two_pass=False).run()
+    result = Engine(*g.projects(), matchers=use, batch_sweeps=True, tier3_max_iters=3, tier3_quiet_epochs=1, two_pass=False).run()
     return result.mapping.select("a", "b", F.round("confidence", 6).alias("confidence"), "locked")
 
 
 _register("engine_full", engine_full)
+
+
+def unique_token_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd documents by the words that one document of each side has, committed one to one."""
+    a, b = docs(spark, sf_dir)
+    found = Matcher("unique_string", 2, content.unique_string(6)).candidates(a, b)
+    return commit(State.empty(spark), found, a, b)[0].mapping.select("a", "b", F.round("confidence", 6).alias("confidence"), "locked")
+
+
+_register("unique_token_mapping", unique_token_mapping)
