@@ -25,7 +25,7 @@ from namefold.llm.learning import Remembered, fold, labelled_sample, scored
 
 BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-3
 #: Documents learned from, and buckets kept, at most; a bucket is in so many of those documents at least.
-SAMPLE, TERMS, LEAST = 8000, 300, 3
+SAMPLE, TERMS, LEAST = 6000, 300, 3
 #: A toxic document counts as often as clean ones outnumber it, up to this.
 MOST_BALANCE = 8.0
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -47,27 +47,31 @@ def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.nd
     y = np.array(labels, dtype=np.float64)
     if len(np.unique(y)) < 2:
         return np.empty(0, dtype=np.int64), np.empty(0), np.empty((0, FACTORS)), 0.0
-    found = [np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, x.lower().split())), dtype=np.int64), return_counts=True) for x in documents]
-    size = np.array([len(x) for x, _ in found])
-    bucket, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-    value = 1 + np.log(np.concatenate([n for _, n in found]))
-    toxic = np.bincount(at, weights=np.repeat(y, size))
-    every = np.bincount(at)
+    found = []
+    every, toxic = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
+    for text, label in zip(documents, labels, strict=True):
+        ids, n = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, text.lower().split())), dtype=np.int32), return_counts=True)
+        known.age()
+        every[ids] += 1
+        toxic[ids] += label
+        found.append((ids, n.astype(np.int32)))
     # Buckets that differ most from what the share of toxic documents would give.
     share = y.mean()
     balance = min((1 - share) / share, MOST_BALANCE)
-    gain = (toxic - every * share) ** 2 / (every * share * (1 - share))
-    gain[every < LEAST] = -1
-    kept = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
-    kept = kept[gain[kept] > 0]
-    number = np.full(len(bucket), -1)
-    number[kept] = np.arange(len(kept))
-    mine, row = number[at], np.repeat(np.arange(len(y)), size)
-    row, value, mine = row[mine >= 0], value[mine >= 0], mine[mine >= 0]
+    bucket = np.flatnonzero(every >= LEAST)
+    gain = (toxic[bucket] - every[bucket] * share) ** 2 / (every[bucket] * share * (1 - share))
+    bucket = np.sort(bucket[np.argsort(-gain, kind="stable")[:TERMS]])
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[bucket] = np.arange(len(bucket))
+    kept = [number[ids] >= 0 for ids, _ in found]
+    row = np.repeat(np.arange(len(y)), [int(k.sum()) for k in kept])
+    mine = np.concatenate([number[ids[k]] for (ids, _), k in zip(found, kept, strict=True)])
+    value = 1 + np.log(np.concatenate([n[k] for (_, n), k in zip(found, kept, strict=True)]))
+    del found, every, toxic, number
     edge = np.searchsorted(row, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
-    weight, vector, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)), 0.0
-    seen_w, seen_v, seen_b = np.full(len(kept), 1e-8), np.full((len(kept), FACTORS), 1e-8), 1e-8  # squared gradients so far
+    weight, vector, bias = np.zeros(len(bucket)), rng.normal(0, 0.05, (len(bucket), FACTORS)), 0.0
+    seen_w, seen_v, seen_b = np.full(len(bucket), 1e-8), np.full((len(bucket), FACTORS), 1e-8), 1e-8  # squared gradients so far
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
@@ -92,7 +96,7 @@ def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.nd
             weight[near] -= RATE * g_w / np.sqrt(seen_w[near])
             vector[near] -= RATE * g_v / np.sqrt(seen_v[near])
             bias -= RATE * off.sum() / math.sqrt(seen_b)
-    return bucket[kept], weight, vector, bias
+    return bucket, weight, vector, bias
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> Callable[[str], float]:
