@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from namefold.llm.common import join_hot, mix, shuffle_partitions, slices, stored, texts, windows, without, word_hashes
 
 #: Tokens that a task orders and deals at a time.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 750_000
 #: Index entries of one part, which one task sorts.
-PART_ENTRIES = 1_500_000
+PART_ENTRIES = 750_000
 #: A token is frequent if it comes so often, and at most so many (16 MB) are, those that come most. Other tokens
 #: are ordered by hash, which changes no result: any one order of all tokens is exact.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
@@ -101,7 +101,7 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, node) of each row; a null node where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             size, node = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             for row, values in _sets(batch, width):
                 size[row], node[row] = len(values), node_of(values)
@@ -130,7 +130,7 @@ def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
             blobs = [[x[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)] for x in (token, n)]
             return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "token": pa.array(blobs[0], pa.binary()), "n": pa.array(blobs[1], pa.binary())})
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             words = word_hashes(b" ".join(texts(batch.column("text"))).translate(_LOW))[2]
             held.append(_short(windows(words, width), parts))  # a few cross two texts; this only orders tokens
             if sum(map(len, held)) > CHUNK_TOKENS:
@@ -197,7 +197,7 @@ def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -
             return pa.RecordBatch.from_pydict({"part": pa.array(columns[0], pa.int32()), "entries": pa.array(columns[1], pa.int64())} | {n: pa.array(c, pa.binary()) for n, c in zip(("token", "owner", "pos", "node", "size"), columns[2:], strict=True)})
 
         total = 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             for _, values_of in _sets(batch, width):
                 node = node_of(values_of)
                 if node not in held:
