@@ -108,3 +108,23 @@ def docs(spark: SparkSession, sf_dir: str) -> tuple[Project, Project]:
     ))
     even = F.regexp_extract("id", "([0-9]+)", 1).cast("long") % 2 == 0
     return Project(made.where(even)), Project(made.where(~even))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> tuple[Project, Project]:
+    """Conversations of even and odd ids as classes, their turns as methods: the role and the length of the text
+    modulo five stand for the body, the role and the length modulo three for the signature."""
+    turn = F.struct(
+        F.col("turn").alias("at"), F.concat("role", F.lit("("), F.element_at(F.array(F.lit("I"), F.lit("J"), F.lit("Z")), F.length("text") % 3 + 1), F.lit(")V")).alias("sig"),
+        F.concat("role", F.lit(":"), (F.length("text") % 5).cast("string")).alias("bha"), (F.length("text") % 3).cast("int").alias("br"),
+    )
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    refs, none = F.array().cast("array<struct<cls:string,name:string>>"), F.array().cast("array<string>")
+
+    def method(t: Column) -> Column:
+        name = F.substring_index(t["sig"], "(", 1)
+        parts = {"sig": t["sig"], "name": name, "native": F.lit(False), "bh": t["bha"], "bha": t["bha"], "calls": refs, "calls_full": refs, "facc": refs, "facc_typed": refs, "strs": none, "br": t["br"], "body_lx": none}
+        return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+    made = as_records(rows.select("conv_id", F.concat(F.lit("LX/v"), F.col("conv_id").cast("string"), F.lit(";")).alias("id"), F.transform("turns", method).alias("methods"), F.size("turns").alias("nm")))
+    even = F.regexp_extract("id", "([0-9]+)", 1).cast("long") % 2 == 0
+    return Project(made.where(even)), Project(made.where(~even))

@@ -11,7 +11,7 @@ from namefold.operators import content, harness, members, structure
 from namefold.operators import validators as V
 from namefold.operators.commit import State, churn, commit
 from namefold.operators.content import Matcher
-from namefold.plans.adapters import Graph, docs
+from namefold.plans.adapters import Graph, conversations, docs
 from namefold.plans.engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +223,72 @@ _register("sibling_band", _on_graph(_m("sibling_super_loose", structure.siblings
     SELECT a, min(cid) AS b, 0.62 AS confidence FROM x JOIN cb ON cb.super = x.super AND abs(cb.nm - x.nm) <= 1
     WHERE cid NOT IN (SELECT b FROM m) GROUP BY a HAVING count(*) = 1""")
 
+# Members: the turns of conversations.
+
+
+def _on_turns(matcher: Matcher) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = conversations(spark, sf_dir)
+        return _rounded(matcher.candidates(a, b, spark.createDataFrame([], "a string, b string")))
+
+    return query
+
+
+_TURNS = """WITH t AS (
+        SELECT conv_id % 2 AS side, 'LX/v' || conv_id || ';' AS cid, turn, role || ':' || (length(text) % 5) AS h,
+               role || '(' || substr('IJZ', length(text) % 3 + 1, 1) || ')V' AS sig FROM conversations)"""
+_register("fp_multiset_equal", _on_turns(Matcher("anon_body_ms", 2, content.fingerprint(content.body_key(2), 0.93, "b"))), _TURNS + """,
+    k AS (SELECT side, cid, list_sort(list(h)) AS key FROM t GROUP BY side, cid HAVING count(*) >= 2),
+    z AS (SELECT key, count(*) AS n FROM k WHERE side = 1 GROUP BY key)
+    SELECT x.cid AS a, y.cid AS b, round(CASE WHEN z.n = 1 THEN 0.93 ELSE greatest(0.93 / sqrt(z.n), 0.4) END, 6) AS confidence
+    FROM k x JOIN k y ON x.key = y.key AND x.side = 0 AND y.side = 1 JOIN z ON z.key = x.key""")
+_register("sim_body_jaccard", _on_turns(Matcher("anon_body_jac_m3_j60", 2, content.body_jaccard(3, 0.6))), _TURNS.replace("WITH t AS", "WITH t0 AS") + """,
+    t AS (SELECT DISTINCT side, cid, h AS s FROM t0),
+    big AS (SELECT cid, count(*) AS n FROM t GROUP BY cid HAVING count(*) >= 3),
+    o AS (SELECT x.cid AS a, y.cid AS b, count(*) AS n FROM t x JOIN t y ON x.s = y.s AND x.side = 0 AND y.side = 1 GROUP BY ALL)
+    SELECT a, b, round(0.65 + 0.27 * (o.n / (x.n + y.n - o.n) - 0.6) / (1 - 0.6), 6) AS confidence
+    FROM o JOIN big x ON x.cid = a JOIN big y ON y.cid = b WHERE o.n >= 3 AND o.n / (x.n + y.n - o.n) >= 0.6""")
+
+
+def _ratio_sql(token: str, least: int, ratio: float, most: float) -> str:
+    return _TURNS + f""",
+    total AS (SELECT cid AS a, count(*) AS n FROM t WHERE side = 0 GROUP BY cid HAVING count(*) >= {least}),
+    votes AS (
+        SELECT x.cid AS a, y.cid AS b, count(*) AS v FROM t x JOIN (SELECT DISTINCT cid, {token} AS token FROM t WHERE side = 1) y ON x.{token} = y.token
+        WHERE x.side = 0 GROUP BY ALL),
+    {_TOP}
+    SELECT a, b, round(least(0.7 + 0.05 * (v - second), {most}), 6) AS confidence FROM v2 JOIN total USING (a)
+    WHERE r = 1 AND v >= {least} AND v - second >= 1 AND v / n >= {ratio}"""
+
+
+_register("vote_member_hash", _on_turns(_m("bha_method_vote", structure.body_hash_vote(2, 0.3))), _ratio_sql("h", 2, 0.3, 0.93))
+_register("vote_member_sig", _on_turns(_m("method_sig_sub_vote", structure.signature_vote(2, 0.3))), _ratio_sql("sig", 2, 0.3, 0.92))
+
+
+def members_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations 2k and 2k + 1, paired by equal signature in order of appearance."""
+    a, b = conversations(spark, sf_dir)
+    k = F.regexp_extract("cid", "([0-9]+)", 1).cast("long")
+    pairs = a.classes.select(F.col("cid").alias("a"), k.alias("k")).join(b.classes.select(F.col("cid").alias("b"), (k - 1).alias("k")), "k").select("a", "b")
+    return members.method_mapping(a, b, pairs).where("sim = 1.0 and a = b").groupBy("a_class", "b_class", F.col("a").alias("sig")).agg(F.count("*").alias("n"))
+
+
+_register("members_exact", members_exact, _TURNS + """,
+    c AS (SELECT cid, side, CAST(regexp_extract(cid, '([0-9]+)', 1) AS BIGINT) AS k, sig, count(*) AS n FROM t GROUP BY ALL)
+    SELECT x.cid AS a_class, y.cid AS b_class, x.sig AS sig, least(x.n, y.n) AS n FROM c x JOIN c y ON x.sig = y.sig AND x.side = 0 AND y.side = 1 AND y.k = x.k + 1""")
+
+
+def members_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of the same pairs, the rest by the best assignment."""
+    a, b = conversations(spark, sf_dir)
+    k = F.regexp_extract("cid", "([0-9]+)", 1).cast("long")
+    pairs = a.classes.select(F.col("cid").alias("a"), k.alias("k")).join(b.classes.select(F.col("cid").alias("b"), (k - 1).alias("k")), "k").select("a", "b")
+    return members.method_mapping(a, b, pairs)
+
+
+_register("members_assign", members_assign)
+_register("string_frequency", lambda spark, sf_dir: docs(spark, sf_dir)[0].string_frequency(), _DOCS + " SELECT s, count(*) AS count FROM t WHERE side = 0 GROUP BY s")
+
 # Commit, validation, cleanup, members, measures.
 
 
