@@ -155,8 +155,19 @@ def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"token": pa.array(token[first][often].astype(np.int64) | np.int64(part) << np.int64(32)), "n": pa.array(total[often])})
 
     counted = docs.select("text").mapInArrow(run, "part int, token binary, n binary").repartition(parts, "part").mapInArrow(count, "token long, n long")
-    most = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
-    return most.column("token").to_numpy()[::-1].astype(np.uint64)
+    # The bar is the least step of counts from which on no more than MOST_FREQUENT tokens are left.
+    counted = stored(counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    left, bar = MOST_FREQUENT, None
+    for step, tokens in sorted(map(tuple, counted.groupBy("step").count().collect()), reverse=True):
+        left -= tokens
+        if left < 0:
+            break
+        bar = step
+    if bar is None:
+        return np.empty(0, dtype=np.uint64)
+    most = counted.where(F.col("step") >= bar).select("token", "n").toArrow()
+    token, n = most.column("token").to_numpy(), most.column("n").to_numpy()
+    return token[np.lexsort((token, n))].astype(np.uint64)
 
 
 def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -> DataFrame:
