@@ -4,8 +4,10 @@ Terms are the distinct words of a text, lower-cased and bare of marks at their e
 four and five characters; a term that comes n times has the value 1 + ln n. Beside a weight for each term the machine has a vector for each, whose inner
 products score pairs of terms, so that two terms together may mean what neither does alone.
 
-Learns from at most ``sample`` labelled documents, never from held-out ones, over the ``TERMS`` buckets that
-tell the classes apart best. Defined cases: null and empty texts have the score of the bias; without labels
+Learns from at most ``sample`` labelled documents, never from held-out ones, over all buckets that at least
+``LEAST`` of those documents have; there is no other choice of terms, so terms that mean something only together
+have their vectors too. Buckets that alone tell the classes apart no better than chance learn at slower rates,
+since many rare terms would otherwise remember single documents. Defined cases: null and empty texts have the score of the bias; without labels
 of both kinds every score is 0.5; repeated rows each give a row; a null doc_id is not held out; other columns
 are not read.
 """
@@ -24,8 +26,12 @@ from pyspark.sql import DataFrame
 from namefold.llm.learning import Remembered, fold, labelled_sample, scored
 
 BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-3
-#: Documents learned from, and buckets kept, at most; a bucket is in so many of those documents at least.
-SAMPLE, TERMS, LEAST = 6000, 300, 3
+#: Documents learned from, at most; a bucket is in so many of those documents at least.
+SAMPLE, LEAST = 6000, 3
+#: Buckets whose chi-square is at most CHANCE * ln(number of buckets) learn weights and vectors at these parts of RATE.
+CHANCE, SLOW_WEIGHT, SLOW_VECTOR = 2.0, 0.03, 0.2
+#: Spread of the vectors at the start, and the squared gradients that each bucket starts with.
+SPREAD, SEEN = 0.01, 1.0
 #: A toxic document counts as often as clean ones outnumber it, up to this.
 MOST_BALANCE = 8.0
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -47,31 +53,32 @@ def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.nd
     y = np.array(labels, dtype=np.float64)
     if len(np.unique(y)) < 2:
         return np.empty(0, dtype=np.int64), np.empty(0), np.empty((0, FACTORS)), 0.0
-    found = []
+    found, counts = [], []
     every, toxic = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
     for text, label in zip(documents, labels, strict=True):
         ids, n = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, text.lower().split())), dtype=np.int32), return_counts=True)
         known.age()
         every[ids] += 1
         toxic[ids] += label
-        found.append((ids, n.astype(np.int32)))
-    # Buckets that differ most from what the share of toxic documents would give.
+        found.append(ids)
+        counts.append(n.astype(np.int32))
     share = y.mean()
     balance = min((1 - share) / share, MOST_BALANCE)
     bucket = np.flatnonzero(every >= LEAST)
+    # Buckets that differ more from what the share of toxic documents would give than the most of so many would by chance.
     gain = (toxic[bucket] - every[bucket] * share) ** 2 / (every[bucket] * share * (1 - share))
-    bucket = np.sort(bucket[np.argsort(-gain, kind="stable")[:TERMS]])
+    telling = gain > CHANCE * math.log(max(len(bucket), 1))
+    rate_w, rate_v = np.where(telling, RATE, RATE * SLOW_WEIGHT), np.where(telling, RATE, RATE * SLOW_VECTOR)[:, None]
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[bucket] = np.arange(len(bucket))
-    kept = [number[ids] >= 0 for ids, _ in found]
-    row = np.repeat(np.arange(len(y)), [int(k.sum()) for k in kept])
-    mine = np.concatenate([number[ids[k]] for (ids, _), k in zip(found, kept, strict=True)])
-    value = 1 + np.log(np.concatenate([n[k] for (_, n), k in zip(found, kept, strict=True)]))
-    del found, every, toxic, number
+    row, found = np.repeat(np.arange(len(y), dtype=np.int32), [len(ids) for ids in found]), number[np.concatenate(found)]
+    kept = found >= 0
+    row, mine, value = row[kept], found[kept], 1 + np.log(np.concatenate(counts)[kept])
+    del found, counts, kept, every, toxic, number
     edge = np.searchsorted(row, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
-    weight, vector, bias = np.zeros(len(bucket)), rng.normal(0, 0.05, (len(bucket), FACTORS)), 0.0
-    seen_w, seen_v, seen_b = np.full(len(bucket), 1e-8), np.full((len(bucket), FACTORS), 1e-8), 1e-8  # squared gradients so far
+    weight, vector, bias = np.zeros(len(bucket)), rng.normal(0, SPREAD, (len(bucket), FACTORS)), 0.0
+    seen_w, seen_v, seen_b = np.full(len(bucket), SEEN), np.full((len(bucket), FACTORS), SEEN), 1e-8  # squared gradients so far
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
@@ -81,20 +88,23 @@ def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.nd
             doc = np.repeat(np.arange(len(batch)), edge[batch + 1] - edge[batch])
             v = vector[ids] * x[:, None]
             total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, doc, v)
+            for f in range(FACTORS):
+                total[:, f] = np.bincount(doc, weights=v[:, f], minlength=len(batch))
             squares = np.bincount(doc, weights=(v * v).sum(axis=1), minlength=len(batch))
             z = bias + np.bincount(doc, weights=weight[ids] * x, minlength=len(batch)) + ((total * total).sum(axis=1) - squares) / 2
             off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * np.where(y[batch] == 1, balance, 1.0)
             near, at_near = np.unique(ids, return_inverse=True)
             g_w = np.bincount(at_near, weights=off[doc] * x, minlength=len(near)) + DECAY * weight[near]
             g_v = np.zeros((len(near), FACTORS))
-            np.add.at(g_v, at_near, (off[doc] * x)[:, None] * (total[doc] - v))
+            pull = (off[doc] * x)[:, None] * (total[doc] - v)
+            for f in range(FACTORS):
+                g_v[:, f] = np.bincount(at_near, weights=pull[:, f], minlength=len(near))
             g_v += DECAY * vector[near]
             seen_w[near] += g_w * g_w
             seen_v[near] += g_v * g_v
             seen_b += off.sum() ** 2
-            weight[near] -= RATE * g_w / np.sqrt(seen_w[near])
-            vector[near] -= RATE * g_v / np.sqrt(seen_v[near])
+            weight[near] -= rate_w[near] * g_w / np.sqrt(seen_w[near])
+            vector[near] -= rate_v[near] * g_v / np.sqrt(seen_v[near])
             bias -= RATE * off.sum() / math.sqrt(seen_b)
     return bucket, weight, vector, bias
 

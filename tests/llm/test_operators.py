@@ -350,6 +350,19 @@ def test_terms_that_matter_together():
     assert np.mean([(score(t) >= 0.5) == bool(v) for t, v in zip(texts, labels, strict=True)]) > 0.95
 
 
+def test_terms_that_matter_together_in_a_large_vocabulary():
+    """As above, among thousands of other words; each of the two is as frequent in clean texts as in toxic ones."""
+    rng = np.random.default_rng(5)
+    words = [f"{rng.integers(10**9):x}q{k}" for k in range(5000)]
+    texts, labels = [], []
+    for k in range(3600):
+        x, y = k % 4 in (0, 1), k % 4 in (0, 2)
+        texts.append(" ".join([*rng.choice(words, 20, replace=False), *["zorkish"] * x, *["blatant"] * y]))
+        labels.append(int(x == y))
+    score = toxicity.scorer(toxicity.train(texts[:3000], labels[:3000]))
+    assert np.mean([(score(t) >= 0.5) == bool(v) for t, v in zip(texts[3000:], labels[3000:], strict=True)]) > 0.95
+
+
 @pytest.mark.parametrize("name", ["quality", "toxic"])
 def test_empty_tables(spark, docs_of, name):
     none = docs_of([(1, "x")]).limit(0)
