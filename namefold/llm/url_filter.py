@@ -2,8 +2,9 @@
 
 The models are smoothed variable-order Markov models over the bytes of host and path, one of the URLs that
 rules allow and one of those that rules block. A context of k bytes falls back to k - 1 bytes as far as it is
-unseen. Counts cover all URLs that rules decide, outside the calibration fold; they live in a fixed number of
-hashed slots, so the model has one size whatever the input. The difference of the log-likelihoods, divided
+unseen. Counts cover all URLs that rules decide, outside the calibration fold, one count for each distinct
+context and for each with its byte, told apart by 64-bit hashes; so the model grows with what the URLs hold, and
+the driver and each worker keep it whole. The difference of the log-likelihoods, divided
 by the length, is compared with the threshold that best tells the calibration fold apart.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule, and its empty text
@@ -26,8 +27,8 @@ from namefold.llm.common import mix, texts
 
 #: (verdict, host and path) of the contract's rules.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Longest context, slots of each order, weight of the shorter context, and the calibration fold's modulus.
-ORDER, SLOTS, BACKOFF, FOLDS = 5, 1 << 16, 2.0, 5
+#: Longest context, weight of the shorter context, and the calibration fold's modulus.
+ORDER, BACKOFF, FOLDS = 5, 2.0, 5
 #: Scores are cut to this range and counted in so many bins to find the threshold.
 RANGE, BINS = 4.0, 4000
 
@@ -53,8 +54,8 @@ def fitting(host: str, path: str, rules: tuple[tuple[str, str], ...]) -> tuple[s
     return best
 
 
-def _slots(names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of the names: its name, and the slots of its contexts with and without the byte, by order.
+def _keys(names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the names: its name, and the hashes of its contexts without and with the byte, by order.
 
     A name begins behind ORDER zero bytes, so its first bytes have contexts too.
     """
@@ -69,22 +70,28 @@ def _slots(names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in range(ORDER + 1):
         if k:
             value = mix(value * np.uint64(257) + data[at - k] + np.uint64(1))
-        base = np.uint64(k * SLOTS)
-        context[k] = (mix(value + np.uint64(7 * k + 1)) % np.uint64(SLOTS) + base).astype(np.int64)
-        joint[k] = (mix(value * np.uint64(31) + data[at] + np.uint64(1009 * k)) % np.uint64(SLOTS) + base).astype(np.int64)
+        key = mix(value + np.uint64(7 * k + 1))
+        context[k] = key.view(np.int64)
+        joint[k] = mix(key * np.uint64(257) + data[at] + np.uint64(1)).view(np.int64)
     return owner, context, joint
 
 
-def scores(names: list[bytes], model: np.ndarray) -> np.ndarray:
-    """Log-likelihood of allowed minus blocked, per byte; 0 for empty names."""
-    owner, context, joint = _slots(names)
+def scores(names: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-likelihood of allowed minus blocked, per byte; 0 for empty names. Keys that the model has not count 0."""
+    owner, context, joint = _keys(names)
+    keys, counts = model
+
+    def place(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys[:-1], wanted)
+        return np.where(keys[at] == wanted, at, len(keys) - 1)
+
+    context, joint = place(context), place(joint)
     total = []
     for kind in range(2):
-        contexts, joints = model[kind]
         p = np.full(len(owner), 1 / 256)
         for k in range(ORDER + 1):
-            n = contexts[context[k]]
-            p = (np.minimum(joints[joint[k]], n) + BACKOFF * p) / (n + BACKOFF)
+            n = counts[kind][context[k]]
+            p = (counts[kind][joint[k]] + BACKOFF * p) / (n + BACKOFF)
         total.append(np.bincount(owner, weights=np.log(p), minlength=len(names)))
     return (total[0] - total[1]) / np.maximum([len(x) for x in names], 1)
 
@@ -107,27 +114,28 @@ def _names(batch: pa.RecordBatch) -> list[bytes]:
     return [h + p for h, p in zip(texts(batch.column("host")), texts(batch.column("path")), strict=True)]
 
 
-def fit(parsed: DataFrame) -> tuple[np.ndarray, float]:
-    """(model, threshold) from the rows that rules decide. model[kind] has the counts of contexts and of joints."""
-    width = (ORDER + 1) * SLOTS
+def fit(parsed: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """(model, threshold) from the rows that rules decide.
+
+    The model is the sorted keys and a row of their counts for each kind; a last key with no counts stands for all others.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * width, dtype=np.int64)
         for batch in batches:
-            kind = np.array([x == "block" for x in batch.column("decided").to_pylist()], dtype=np.int64)
-            owner, context, joint = _slots(_names(batch))
-            for what, slots in ((0, context), (1, joint)):
-                total += np.bincount(((2 * kind[owner] + what) * width + slots).ravel(), minlength=4 * width)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(found), "n": pa.array(total[found])})
+            block = np.array([x == "block" for x in batch.column("decided").to_pylist()], dtype=bool)
+            owner, context, joint = _keys(_names(batch))
+            found, at = np.unique(np.concatenate([context, joint]), return_inverse=True)
+            kind = np.tile(block[owner], 2 * (ORDER + 1))
+            n = [np.bincount(at.ravel()[kind == k], minlength=len(found)) for k in (False, True)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found), "allow": pa.array(n[0]), "block": pa.array(n[1])})
 
     decided = parsed.where("decided is not null")
-    sums = decided.where("not held").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    model = np.zeros(4 * width)
-    model[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    model = model.reshape(2, 2, width)
-    if not model[0].any() or not model[1].any():
-        return np.zeros((2, 2, width)), 0.0
+    sums = decided.where("not held").mapInArrow(count, "key long, allow long, block long").groupBy("key").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow().sort_by("key")
+    keys = np.append(sums.column("key").to_numpy(), 0)
+    counts = np.array([np.append(sums.column(x).to_numpy(), 0) for x in ("allow", "block")], dtype=np.float64)
+    if not counts.any(axis=1).all():
+        return (np.zeros(1, dtype=np.int64), np.zeros((2, 1))), 0.0
+    model = keys, counts
     shared = parsed.sparkSession.sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,6 +309,29 @@ def test_urls(spark):
     assert out[2000, ""]["score"] == 0 and out[None, "a.net"]["rule"] == "net/de/"
 
 
+def test_url_counts_are_exact_beyond_65536_contexts(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, f"http://a.{'net/de' if k % 2 else 'com/en'}/{rng.integers(16**10):010x}") for k in range(20_000)]
+    model, _ = url_filter.fit(url_filter._parsed(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES))
+    n = (defaultdict(int), defaultdict(int))
+    grams = lambda x: [(k, (b"\0" * 5 + x)[i + 5 - k : i + 5], x[i : i + 1]) for i in range(len(x)) for k in range(6)]
+    for page, url in rows:
+        if zlib.crc32(str(page).encode()) % 5:
+            for k, context, byte in grams(url[7:].encode()):
+                for key in ((k, context), (k, context, byte)):
+                    n[1 - page % 2][key] += 1
+    assert len({key for side in n for key in side if len(key) == 2 and key[0] == 5}) > 65_536
+    names = [f"b.org/fr/{rng.integers(16**10):010x}".encode() for _ in range(50)]
+    for name, score in zip(names, url_filter.scores(names, model), strict=True):
+        logs = [0.0, 0.0]
+        for side in (0, 1):
+            for k, context, byte in grams(name):
+                p = 1 / 256 if k == 0 else p
+                p = (n[side][k, context, byte] + 2 * p) / (n[side][k, context] + 2)
+                logs[side] += np.log(p) if k == 5 else 0
+        assert score == pytest.approx((logs[0] - logs[1]) / len(name), abs=1e-9)
+
+
 def test_urls_without_rules_decided(spark):
     out = url_filter.judged(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")).collect()
     assert [(r["verdict"], r["score"]) for r in out] == [("allow", 0.0)]
