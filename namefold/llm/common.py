@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 #: A group counts as hot when it holds more than 1/HOT_SHARE of all rows; so at most HOT_SHARE groups are hot.
 HOT_SHARE = 1000
+#: No group of so few rows is hot.
+HOT_LEAST = 50
 #: Rows in an Arrow batch handed to Python; a batch of long texts stays small.
 BATCH_ROWS = 512
+#: Bytes of text that the numpy kernels take at a time; their arrays take some fifty times as much.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="namefold-")  # local sessions only: a cluster names its shared folder
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        base = tempfile.mkdtemp(prefix="namefold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/namefold-{uuid.uuid4().hex}"
 
@@ -49,14 +59,18 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
     """``rows`` joined to the one row per ``key`` of ``groups``, safe when a few keys hold most rows.
 
     ``groups[count]`` is the number of rows of the key. Keys with more than ``total / HOT_SHARE`` rows, at
-    most HOT_SHARE of them, are dealt over all shuffle partitions by a salt: the list of these keys is
-    broadcast to salt the rows, and their groups are repeated for each salt. No other key is hot.
+    most HOT_SHARE of them, are dealt over as many salts as they have such shares, and their groups are repeated
+    for each salt, at most 2 * HOT_SHARE times in all; the list of these keys is broadcast to salt the rows.
+    The salt follows from a row's partition and its numbers, so a task that runs again deals its rows alike.
     """
-    salts = shuffle_partitions(rows.sparkSession)
-    is_hot = F.col(count) > max(total // HOT_SHARE, 200)
-    hot = F.broadcast(groups.where(is_hot).select(key, F.lit(True).alias("_hot")))
-    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * salts)).otherwise(0).cast("int")).drop("_hot")
-    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    least = max(total // HOT_SHARE, HOT_LEAST)
+    is_hot = F.col(count) > least
+    salts = F.least(F.ceil(F.col(count) / least), F.lit(HOT_SHARE)).cast("int")
+    hot = F.broadcast(groups.where(is_hot).select(key, salts.alias("_salts")))
+    numbers = [F.col(f"`{c}`") for c, kind in rows.dtypes if kind in ("bigint", "int")]
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *numbers), F.col("_salts").cast("long")).cast("int")
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(dealt, F.lit(0))).drop("_salts")
+    every = F.explode(F.when(is_hot, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0))))
     return salted.join(groups.withColumn("_salt", every), [key, "_salt"], how).drop("_salt")
 
 
@@ -66,11 +80,19 @@ BROADCAST_KEYS = 500_000
 
 def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     """``rows`` less those whose keys are in ``gone``; null equals null. A short list of keys is broadcast."""
-    gone = stored(gone.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct())
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    same = [rows[k].eqNullSafe(gone[f"_{k}"]) for k in keys]
-    return rows.join(gone, same, "left_anti")
+    return _filtered(rows, gone, keys, "left_anti")
+
+
+def only(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The ``rows`` whose keys are in ``wanted``; null equals null. A short list of keys is broadcast."""
+    return _filtered(rows, wanted, keys, "left_semi")
+
+
+def _filtered(rows: DataFrame, asked: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    asked = stored(asked.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct())
+    if asked.count() <= BROADCAST_KEYS:
+        asked = F.broadcast(asked)
+    return rows.join(asked, [rows[k].eqNullSafe(asked[f"_{k}"]) for k in keys], how)
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -78,7 +100,7 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches whose ``column`` holds at most ``most`` bytes, unless one row alone is longer."""
     for batch in batches:
         sizes = np.asarray(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0), dtype=np.int64)
@@ -101,6 +123,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a word from which on its hash is a digest.
+LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -119,6 +143,7 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hash) of each run of bytes other than the space; equal words have equal hashes everywhere.
 
     The hash of a word is a polynomial of its bytes modulo 2**64 with the word's length, passed through ``mix``.
+    Words of more than LONG_WORD bytes, for which such polynomials have known collisions, have a digest in its place.
     """
     data = np.frombuffer(buffer, dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
@@ -130,7 +155,10 @@ def word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        value[k] = int.from_bytes(hashlib.blake2b(buffer[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return starts, ends, value
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:

@@ -9,15 +9,17 @@ The join is a prefix-filtered one with set-relation skipping:
   against the list, so a large group of near copies costs as many checks as it has members.
 * Round two derives the rest from the pivots' answers: a block of list entries of one component is skipped
   against itself; two blocks are skipped when no entry's remaining tokens suffice; and a pair is skipped
-  when ``|x & y| <= |y & p| + |x - p|`` for the pivot p already rules it out. What is left is verified.
+  when ``|x & y| <= |y & p| + |x - p|`` for the pivot p already rules it out. Of what is left, a pair with a set
+  x that links with p is answered from p's answer, ``|y & x| = |y & p| - |y & (p - x)| + |y & (x - p)|``, so
+  that only x's differences from p travel to y; the others are verified in full.
 
 Links inside a component found so far need no check, since the result is components. Sets are compared by
 64-bit hashes of their shingles, and nodes are told apart by 64 bits of a digest of the whole set.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component;
-fewer words than the width make one shingle; repeated rows and equal sets share a component; a null doc_id
-never names a component unless the whole component has none; an empty table gives an empty result; other
-columns are not read.
+fewer words than the width make one shingle; repeated rows and equal sets share a component; rows without a
+doc_id link like others, but a null doc_id never names a component unless the whole component has none; very long
+texts are taken whole, one at a time; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import join_hot, mix, shuffle_partitions, slices, stored, texts, windows, without, word_hashes
+from namefold.llm.common import join_hot, mix, only, shuffle_partitions, slices, stored, texts, windows, without, word_hashes
 
 #: Tokens that a task orders and deals at a time.
 CHUNK_TOKENS = 750_000
@@ -47,6 +49,8 @@ LIST_PAIRS = 4096
 BLOCK_TOKENS = 400_000
 #: Links, at most, that one task unites; more go through rounds of stars.
 SMALL_LINKS = 300_000
+#: Routes of one node in one row.
+ROUTES = 500
 #: Rows of routes that are broadcast at most (of 40 bytes or so); more meet the documents in a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -100,16 +104,22 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, node) of each row; a null node where there are no shingles."""
+    """(doc_id, h, n, node) of each row: a hash of its text, and a null node where there are no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             size, node = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             for row, values in _sets(batch, width):
                 size[row], node[row] = len(values), node_of(values)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(size), "node": pa.array(node, mask=size == 0)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": pa.array(size), "node": pa.array(node, mask=size == 0)})
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, n long, node long")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(node, rep, rep_h, copies): the least doc_id of a node's rows, null if none has one, and that row's text hash."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r")
+    return rows.where("n > 0").groupBy("node").agg(least, F.count("*").alias("copies")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "copies")
 
 
 def _short(token: np.ndarray, parts: int) -> np.ndarray:
@@ -132,7 +142,7 @@ def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
             blobs = [[x[i:j].astype(np.uint32).tobytes() for i, j in zip(cut, ends, strict=True)] for x in (token, n)]
             return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "token": pa.array(blobs[0], pa.binary()), "n": pa.array(blobs[1], pa.binary())})
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             words = word_hashes(b" ".join(texts(batch.column("text"))).translate(_LOW))[2]
             held.append(_short(windows(words, width), parts))  # a few cross two texts; this only orders tokens
             if sum(map(len, held)) > CHUNK_TOKENS:
@@ -210,7 +220,7 @@ def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -
             return pa.RecordBatch.from_pydict({"part": pa.array(columns[0], pa.int32()), "entries": pa.array(columns[1], pa.int64())} | {n: pa.array(c, pa.binary()) for n, c in zip(("token", "owner", "pos", "node", "size"), columns[2:], strict=True)})
 
         total = 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             for _, values_of in _sets(batch, width):
                 node = node_of(values_of)
                 if node not in held:
@@ -280,17 +290,22 @@ def lists(blobs: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition(parts, "part").mapInArrow(run, "kind int, p long, x long, lid long, n long, pos long")
 
 
-def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(key, chunk, side, comp, node, hashes): the set of each node, once for each of its routes.
+def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int, total: int) -> DataFrame:
+    """(key, chunk, side, comp, node, hashes): the set of each node, once for each of its ``total`` routes.
 
-    ``routes`` is (node, key, chunk, side, comp). The routes meet the documents by broadcast if they are few.
+    ``routes`` is (node, key, chunk, side, comp). They meet the documents by broadcast if they are few. A node's
+    text is that of its least doc_id; one whose rows have no id is found by the text's hash. A task sends a node
+    once, however often its rows repeat.
     """
-    routes = routes.join(nodes.select("node", "rep"), "node")
-    routes = stored(routes.groupBy("rep", "node").agg(F.collect_list(F.struct("key", "chunk", "side", "comp")).alias("to")))
-    rows, total = routes.agg(F.count("*"), F.coalesce(F.sum(F.size("to")), F.lit(0))).first()
-    if max(rows, total) <= BROADCAST_ROWS:
-        routes = F.broadcast(routes)
-    found = docs.join(routes, docs["doc_id"] == routes["rep"]).select("text", "node", "to")
+    of = nodes.select("node", "rep", "rep_h").join(routes.groupBy("node").agg(F.count("*").alias("n_routes")), "node")
+    routes = join_hot(routes, of, "node", "n_routes", total).withColumn("piece", F.pmod(F.xxhash64("key", "chunk"), F.ceil(F.col("n_routes") / ROUTES)))
+    routes = stored(routes.groupBy("rep", "rep_h", "node", "piece").agg(F.collect_list(F.struct("key", "chunk", "side", "comp")).alias("to")))
+    rows, every, nameless = routes.agg(F.count("*"), F.coalesce(F.sum(F.size("to")), F.lit(0)), F.count(F.when(F.col("rep").isNull(), 1))).first()
+    few = F.broadcast if max(rows, every) <= BROADCAST_ROWS else lambda df: df
+    found = docs.join(few(routes), docs["doc_id"] == routes["rep"]).select("text", "node", "piece", "to")
+    if nameless:
+        once = docs.where("doc_id is null").groupBy(F.xxhash64("text").alias("rep_h")).agg(F.first("text").alias("text"))
+        found = found.unionByName(once.join(few(routes.where("rep is null")), "rep_h").select("text", "node", "piece", "to"))
     names, kinds = ("key", "chunk", "side", "comp", "node", "hashes"), (*[pa.int64()] * 5, pa.binary())
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -298,11 +313,14 @@ def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int) -> D
         return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
-            node, to = batch.column("node").to_pylist(), batch.column("to").to_pylist()
+        done: set[tuple[int, int]] = set()
+        for batch in slices(batches, "text"):
+            node, piece, to = (batch.column(c).to_pylist() for c in ("node", "piece", "to"))
             rows: list[tuple] = []
             for row, values in _sets(batch, width):
-                if node_of(values) == node[row]:  # rows that repeat a doc_id may hold another text
+                # Rows that repeat a doc_id may hold another text.
+                if (node[row], piece[row]) not in done and node_of(values) == node[row]:
+                    done.add((node[row], piece[row]))
                     blob = values.tobytes()
                     for t in to[row]:
                         rows.append((t["key"], t["chunk"], t["side"], t["comp"], node[row], blob))
@@ -314,14 +332,35 @@ def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int) -> D
     return found.mapInArrow(send, "key long, chunk long, side long, comp long, node long, hashes binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(p, x, inter, np, nx) of distinct ``pairs`` (p, x): each pivot's set meets its partners' sets, in chunks."""
+def _dealt(pairs: DataFrame, key: str, partner: str, total: int) -> DataFrame:
+    """``pairs`` with the chunk of the key's partners that each is in."""
+    chunks = pairs.groupBy(key).agg(F.ceil(F.count("*") / PIVOT_CHUNK).alias("chunks"), F.count("*").alias("n_pairs"))
+    return join_hot(pairs, chunks, key, "n_pairs", total).withColumn("chunk", F.pmod(F.xxhash64(partner), F.col("chunks")))
+
+
+def _routes(pairs: DataFrame, key: str, node: str, side: int) -> DataFrame:
+    return pairs.select(F.col(node).alias("node"), F.col(key).alias("key"), "chunk", F.lit(side).cast("long").alias("side"), F.lit(0).cast("long").alias("comp"))
+
+
+def _in(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Mask of the sorted ``values`` that are among the sorted ``others``."""
+    return others[np.minimum(np.searchsorted(others, values), len(others) - 1)] == values if len(others) else np.zeros(len(values), dtype=bool)
+
+
+def _is_link(inter: Column, np_: Column, nx: Column) -> Column:
+    return 100 * inter >= 75 * (np_ + nx - inter)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, differences: bool = False) -> DataFrame:
+    """(p, x, inter, np, nx) of distinct ``pairs`` (p, x): each pivot's set meets its partners' sets, in chunks.
+
+    With ``differences`` also, of links, ``gone`` (the pivot's hashes that x lacks) and ``new`` (those that x has beside it).
+    """
     spark = docs.sparkSession
-    chunks = pairs.groupBy("p").agg(F.ceil(F.count("*") / PIVOT_CHUNK).alias("chunks"), F.count("*").alias("n_pairs"))
     total = pairs.count()
-    routed = join_hot(pairs, chunks, "p", "n_pairs", total).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")))
-    one = lambda node, side: routed.select(F.col(node).alias("node"), F.col("p").alias("key"), "chunk", F.lit(side).cast("long").alias("side"), F.lit(0).cast("long").alias("comp"))
-    sent = _sent(docs, one("x", 1).unionByName(one("p", 0).distinct()), nodes, width)
+    routed = _dealt(pairs, "p", "x", total)
+    sent = _sent(docs, _routes(routed, "p", "x", 1).unionByName(_routes(routed, "p", "p", 0).distinct()), nodes, width, 2 * total)
+    names = ("p", "x", "inter", "np", "nx", "gone", "new")[: 7 if differences else 5]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, pivot, done = None, np.empty(0, dtype=np.uint64), set()
@@ -333,14 +372,48 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> D
                     at, pivot, done = (p, chunk), values, set()
                 elif at == (p, chunk) and node not in done:
                     done.add(node)
-                    small, large = sorted((pivot, values), key=len)
-                    k = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    rows.append((p, node, int((large[k] == small).sum()), len(pivot), len(values)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("p", "x", "inter", "np", "nx"), columns, strict=True)})
+                    held = _in(pivot, values)
+                    inter = int(held.sum())
+                    row = (p, node, inter, len(pivot), len(values))
+                    if differences:
+                        linked = 100 * inter >= 75 * (len(pivot) + len(values) - inter)
+                        row += (pivot[~held].tobytes(), values[~_in(values, pivot)].tobytes()) if linked else (None, None)
+                    rows.append(row)
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if k < 5 else pa.binary()) for k, (n, c) in enumerate(zip(names, columns, strict=True))})
 
     tasks = max(shuffle_partitions(spark), total // 5_000)
     met = sent.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk", "side")
+    return stored(met.mapInArrow(meet, "p long, x long, inter long, np long, nx long" + ", gone binary, new binary" * differences))
+
+
+def derive(docs: DataFrame, pairs: DataFrame, checked: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(p, x, inter, np, nx) of distinct ``pairs`` (y, x, via, shared), as p = y: from y's overlap ``shared`` with the
+    pivot ``via`` and the differences between that pivot and x, which links with it."""
+    spark = docs.sparkSession
+    total = pairs.count()
+    routed = _dealt(pairs, "y", "x", total)
+    sent = _sent(docs, _routes(routed, "y", "y", 0).distinct(), nodes, width, total)
+    none = F.lit(None)
+    asked = sent.select("key", "chunk", "side", "node", none.cast("long").alias("shared"), none.cast("long").alias("n"), "hashes", none.cast("binary").alias("new"))
+    known = checked.where("gone is not null").select(F.col("p").alias("via"), "x", F.col("nx").alias("n"), F.col("gone").alias("hashes"), "new")
+    told = routed.join(known, ["via", "x"]).select(F.col("y").alias("key"), "chunk", F.lit(1).cast("long").alias("side"), F.col("x").alias("node"), "shared", "n", "hashes", "new")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.empty(0, dtype=np.uint64)
+        for batch in batches:
+            rows = []
+            for key, chunk, side, node, shared, n, blob, new in zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "side", "node", "shared", "n", "hashes", "new")), strict=True):
+                values = np.frombuffer(blob, dtype=np.uint64)
+                if side == 0:
+                    at, own = (key, chunk), values
+                elif at == (key, chunk):
+                    inter = shared - int(_in(values, own).sum()) + int(_in(np.frombuffer(new, dtype=np.uint64), own).sum())
+                    rows.append((key, node, inter, len(own), n))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("p", "x", "inter", "np", "nx"), columns, strict=True)})
+
+    met = asked.unionByName(told).repartition(max(shuffle_partitions(spark), total // 5_000), "key", "chunk").sortWithinPartitions("key", "chunk", "side")
     return stored(met.mapInArrow(meet, "p long, x long, inter long, np long, nx long"))
 
 
@@ -375,11 +448,12 @@ def cluster_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, width:
     """Links (u, v) among the distinct ``members`` (p, node, n, comp) of each pivot p, found in blocks of sets."""
     spark = docs.sparkSession
     per = members.groupBy("p").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.count("*").alias("members"))
-    dealt = join_hot(members, per, "p", "members", max(members.count(), 1)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    total = members.count()
+    dealt = join_hot(members, per, "p", "members", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     routes = met.select("node", F.col("p").alias("key"), (low * F.col("blocks") + high).alias("chunk"), (F.when(low == high, 2).otherwise((F.col("block") == high).cast("int"))).cast("long").alias("side"), "comp")
-    sent = _sent(docs, routes, nodes, width)
+    sent = _sent(docs, routes, nodes, width, total)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
@@ -462,69 +536,102 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(checked: DataFrame) -> DataFrame:
-    return checked.where("100 * inter >= 75 * (np + nx - inter)").select(F.col("p").alias("u"), F.col("x").alias("v"))
+    return checked.where(_is_link(F.col("inter"), F.col("np"), F.col("nx"))).select(F.col("p").alias("u"), F.col("x").alias("v"))
 
 
-def join(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least doc_id reachable over links."""
+def _open_pairs(entries: DataFrame) -> DataFrame:
+    """(p, x, y, via, shared, told) of pairs of list entries (lid, p, node, n, pos, comp, inter, near) that may link.
+
+    ``told`` pairs can be answered from the overlap ``shared`` of y with the pivot ``via``, with which x links.
+    """
+    blocks = entries.groupBy("lid", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    a, b = (blocks.select("lid", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "lo", "hi", "room"))) for s in "ab")
+    both = a.join(b, "lid").where("comp_a < comp_b").where((4 * F.col("hi_a") >= 3 * F.col("lo_b")) & (4 * F.col("hi_b") >= 3 * F.col("lo_a")))
+    both = both.where(F.least("room_a", "room_b") >= needed(F.col("lo_a"), F.col("lo_b"))).select("lid", "comp_a", "comp_b")
+    x, y = (entries.select("lid", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos", "inter", "near", "p"))) for s in "ab")
+    pairs = both.join(x, ["lid", "comp_a"]).join(y.drop("p_b"), ["lid", "comp_b"])
+    need = needed(F.col("n_a"), F.col("n_b"))
+    pairs = pairs.where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
+    through = F.least(F.col("inter_b") + F.col("n_a") - F.col("inter_a"), F.col("inter_a") + F.col("n_b") - F.col("inter_b"))
+    pairs = pairs.where(through.isNull() | (through >= need))
+    way = lambda x, y: F.struct(F.lit(True).alias("told"), F.col("p_a").alias("via"), F.col(f"node_{x}").alias("x"), F.col(f"node_{y}").alias("y"), F.col(f"inter_{y}").alias("shared"))
+    by = F.when(F.col("near_a") & F.col("inter_b").isNotNull(), way("a", "b")).when(F.col("near_b") & F.col("inter_a").isNotNull(), way("b", "a"))
+    # Of several pivots through which a pair can be answered any one will do.
+    pairs = pairs.groupBy(F.least("node_a", "node_b").alias("p"), F.greatest("node_a", "node_b").alias("q")).agg(F.max(by).alias("by"))
+    return pairs.select("p", F.col("q").alias("x"), F.col("by.x").alias("near_x"), F.col("by.y").alias("y"), F.col("by.via").alias("via"), F.col("by.shared").alias("shared"), F.col("by").isNotNull().alias("told"))
+
+
+def _roots(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (doc_id, h, n, node), the nodes with ``root``, the same for all of a component, and the number of rows."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(sets(docs, width))
     total_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    nodes = stored(_nodes(rows))
     parts = max(shuffle_partitions(spark), -(-total * 27 // 100 // PART_ENTRIES))
     frequent = frequent_tokens(docs, width, parts)
     found = stored(lists(index_blobs(docs, width, frequent, parts), parts))
     pairs = stored(found.where("kind = 0").select("p", "x").distinct())
-    checked = verify(docs, pairs, nodes, width)
-    links = _linked(checked)
-    tied = stored(components(links))
+    checked = verify(docs, pairs, nodes, width, differences=True)
+    tied = stored(components(_linked(checked)))
     # Round two: entries with their component and their overlap with the list's pivot.
     entries = found.where("kind = 1").select("lid", "n", "pos", "p", F.col("x").alias("node"))
-    of = tied.withColumnRenamed("root", "comp")
-    entries = entries.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    entries = entries.join(checked.select("p", F.col("x").alias("node"), "inter"), ["p", "node"], "left")
+    n_entries = entries.count()
+    of = entries.groupBy("node").agg(F.count("*").alias("in_lists")).join(tied.withColumnRenamed("root", "comp"), "node")
+    entries = join_hot(entries, of, "node", "in_lists", n_entries, "left").withColumn("comp", F.coalesce("comp", "node")).drop("in_lists")
+    answers = checked.select("p", F.col("x").alias("node"), "inter", _is_link(F.col("inter"), F.col("np"), F.col("nx")).alias("near"))
+    entries = entries.join(answers, ["p", "node"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     entries = stored(entries.withColumn("inter", F.when(F.col("p") == F.col("node"), F.col("n")).otherwise(F.col("inter"))))
     per_list = entries.groupBy("lid", "comp").agg(F.count("*").alias("m")).groupBy("lid").agg(F.count("*").alias("comps"), F.sum("m").alias("members"))
     mixed = per_list.where("comps > 1").select("lid", "members", ((F.col("comps") - 1) * F.col("members") > LIST_PAIRS).alias("many"))
-    entries = stored(join_hot(entries, mixed, "lid", "members", max(entries.count(), 1)))
+    entries = stored(join_hot(entries, mixed, "lid", "members", n_entries))
     members = stored(entries.where("many").groupBy("p", "node").agg(F.max("n").alias("n"), F.max("comp").alias("comp")))
-    entries = entries.where("not many")
-    blocks = entries.groupBy("lid", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
-    a, b = (blocks.select("lid", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "lo", "hi", "room"))) for s in "ab")
-    both = a.join(b, "lid").where("comp_a < comp_b").where((4 * F.col("hi_a") >= 3 * F.col("lo_b")) & (4 * F.col("hi_b") >= 3 * F.col("lo_a")))
-    both = both.where(F.least("room_a", "room_b") >= needed(F.col("lo_a"), F.col("lo_b"))).select("lid", "comp_a", "comp_b")
-    x, y = (entries.select("lid", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "node", "n", "pos", "inter"))) for s in "ab")
-    open_pairs = both.join(x, ["lid", "comp_a"]).join(y, ["lid", "comp_b"])
-    need = needed(F.col("n_a"), F.col("n_b"))
-    open_pairs = open_pairs.where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-    through = F.least(F.col("inter_b") + F.col("n_a") - F.col("inter_a"), F.col("inter_a") + F.col("n_b") - F.col("inter_b"))
-    open_pairs = open_pairs.where(through.isNull() | (through >= need))
-    open_pairs = open_pairs.select(F.least("node_a", "node_b").alias("p"), F.greatest("node_a", "node_b").alias("x")).distinct()
-    rest = stored(open_pairs.join(pairs, ["p", "x"], "left_anti"))
-    more = [_linked(verify(docs, rest, nodes, width))] if rest.head(1) else []
-    more += [cluster_links(docs, members, nodes, width)] if members.head(1) else []
-    for found in more:
-        if found.head(1):
-            tied = stored(components(tied.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(found)))
-    named = nodes.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stored(_open_pairs(entries.where("not many")).join(pairs, ["p", "x"], "left_anti"))
+    told, full = rest.agg(F.count(F.when(F.col("told"), 1)), F.count(F.when(~F.col("told"), 1))).first()
+    more = []
+    if told:
+        answered = rest.where("told").select("y", F.col("near_x").alias("x"), "via", "shared")
+        more.append(_linked(derive(docs, answered, checked, nodes, width)))
+    if full:
+        more.append(_linked(verify(docs, rest.where("not told").select("p", "x"), nodes, width)))
+    if members.head(1):
+        more.append(cluster_links(docs, members, nodes, width))
+    if more:
+        links = tied.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
+        for found in more:
+            links = links.unionByName(found)
+        tied = stored(components(links))
+    return rows, nodes.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")), total_rows
+
+
+def join(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the least doc_id reachable over links."""
+    rows, named, total = _roots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
-    named = stored(join_hot(named.select("node", "copies", "root"), least, "root", "members", total_rows).select("node", "copies", "component_id"))
-    out = join_hot(rows, named, "node", "copies", total_rows, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stored(join_hot(named.select("node", "copies", "root"), least, "root", "members", total).select("node", "copies", "component_id"))
+    out = join_hot(rows.where("n > 0"), named, "node", "copies", total).select("doc_id", "n", "component_id")
+    out = out.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the least doc_id of each component; others go.
+    """One row of ``docs``, with all its columns, of each component; rows without shingles all stay.
 
-    A repeated doc_id stays once; rows without an id stay.
+    The row with the least doc_id stays, a row without an id only where no other is in the component; of rows that
+    share that id the one with the least text hash, then the first by all its columns. A row goes only for its own
+    text, so a doc_id that stands on unrelated texts keeps them all.
     """
-    found = join(docs, width)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("id"))
-    marked = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("id"))
-    left = without(marked, gone, "id")
-    repeated = stored(marked.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id"))
+    rows, named, total = _roots(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("rep_h").alias("text_hash"))).alias("best")
+    best = named.groupBy("root").agg(best, F.count("*").alias("members"))
+    named = stored(join_hot(named.select("node", "copies", "root"), best, "root", "members", total).select("node", "copies", F.col("best.id").alias("id"), F.col("best.text_hash").alias("text_hash")))
+    of = stored(join_hot(rows.where("n > 0").select("doc_id", "h", "node"), named, "node", "copies", total))
+    stays = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("text_hash"))
+    gone = of.where(~stays).select(F.col("doc_id").alias("id"), F.col("h").alias("text_hash"))
+    marked = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    left = without(marked, gone, "id", "text_hash")
+    repeated = stored(of.where(stays).groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash"))
     if repeated.head(1):
-        single = without(left, repeated, "id")
-        left = single.unionByName(left.join(repeated, "id", "left_semi").dropDuplicates(["id"]).select(*single.columns))
+        again = only(left, repeated, "id", "text_hash")
+        once = again.groupBy("id", "text_hash").agg(F.min_by("kept", F.to_json("kept")).alias("kept"))
+        left = without(left, repeated, "id", "text_hash").select("kept").unionByName(once.select("kept"))
     return left.select("kept.*")

@@ -92,11 +92,9 @@ def test_line_dedup_keeps_columns(spark, docs_of):
 # Jaccard join.
 
 
-def components_by_hand(rows, width=5):
-    sets = []
-    for _, t in rows:
-        w = [x for x in re.split("[\x20\x09-\x0d]+", low(t)) if x]
-        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+def groups_by_hand(rows, width=5):
+    """The component of each row, None for a row without shingles."""
+    sets = shingles_by_hand(rows, width)
     root = list(range(len(rows)))
 
     def find(a):
@@ -109,10 +107,21 @@ def components_by_hand(rows, width=5):
             o = len(sets[i] & sets[j])
             if o and 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
                 root[find(i)] = find(j)
+    return [find(i) if sets[i] else None for i in range(len(rows))]
+
+
+def shingles_by_hand(rows, width=5):
+    words = ([x for x in re.split("[\x20\x09-\x0d]+", low(t)) if x] for _, t in rows)
+    return [{tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+
+
+def components_by_hand(rows, width=5):
+    sets, root = shingles_by_hand(rows, width), groups_by_hand(rows, width)
     groups = defaultdict(list)
-    for i in range(len(rows)):
-        groups[find(i)].append(rows[i][0])
-    return sorted(((rows[i][0], len(sets[i]), min((x for x in groups[find(i)] if x is not None), default=None) if sets[i] else rows[i][0]) for i in range(len(rows))), key=str)
+    for (i, _), r in zip(rows, root, strict=True):
+        groups[r].append(i)
+    least = {r: min((x for x in ids if x is not None), default=None) for r, ids in groups.items()}
+    return sorted(((i, len(s), i if r is None else least[r]) for (i, _), s, r in zip(rows, sets, root, strict=True)), key=str)
 
 
 def similar_rows(n=70, words=80, seed=5):
@@ -136,12 +145,44 @@ def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens, lin
     assert rows_of(jaccard_join.join(docs_of(rows))) == components_by_hand(rows)
 
 
+def test_jaccard_join_through_rows_without_id(spark, docs_of):
+    """Two sets that link only through a third, whose rows have no id; one text that stands under one id beside others."""
+    words = [f"w{k}" for k in range(60)]
+    left, middle, right = words[:46], words[4:50], words[8:54]
+    rows = [(5, " ".join(left)), (2, " ".join(right)), (None, " ".join(middle)), (None, " ".join(middle)), (7, "u v w x y z"), (None, "u v w x y z"), (None, "only without an id of its own"), (None, "only without an id of its own"), (None, None), (7, "another text of id seven")]
+    assert rows_of(jaccard_join.join(docs_of(rows))) == components_by_hand(rows)
+    got = dict(zip([r for r, _ in rows[:3]], [2, 2, 2], strict=True))
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.join(docs_of(rows[:3])).collect()} == set(got.items())
+
+
+def one_of_each_by_hand(rows):
+    """What stays, as sorted rows: of each component the least id, nulls last."""
+    left = defaultdict(list)
+    alone = []
+    for (i, t), root in zip(rows, groups_by_hand(rows), strict=True):
+        if root is None:
+            alone.append((i, t))
+        else:
+            left[root].append((i is None, i or 0, i))
+    return sorted(map(str, [i for i, _ in alone] + [min(x)[2] for x in left.values()]))
+
+
 def test_one_of_each(spark, docs_of):
     df = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "z z z z z y"), (3, "z z z z z y"), (None, "q")])
     out = jaccard_join.one_of_each(df)
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
 
 
+def test_one_of_each_goes_by_rows(spark, docs_of):
+    """An id on several texts loses only those that are copies."""
+    t, u, v = "a b c d e f g h", "some text that is like no other", "a third text unlike the first two"
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs_of([(1, t), (3, t), (3, u), (4, u), (4, v), (4, v)])).collect()) == [(1, t), (3, u), (4, v)]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs_of([(3, u), (3, v)])).collect()) == [(3, v), (3, u)]
+    rows = ODD + similar_rows() + [(None, r[1]) for r in similar_rows()[:5]]
+    out = jaccard_join.one_of_each(docs_of(rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == one_of_each_by_hand(rows)
+
+
 # Benchmark decontamination.
 
 
