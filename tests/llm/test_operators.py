@@ -136,9 +136,8 @@ def similar_rows(n=70, words=80, seed=5):
     return rows + [(500 + k, " ".join(base[:30] + [f"z{k}y{j}" for j in range(30)])) for k in range(20)]
 
 
-@pytest.mark.parametrize("list_pairs, block_tokens, links", [(4096, 400_000, 300_000), (10, 400_000, 0), (10, 2000, 0)])
-def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens, links):
-    monkeypatch.setattr(jaccard_join, "SMALL_LINKS", links)
+@pytest.mark.parametrize("list_pairs, block_tokens", [(4096, 400_000), (10, 2000)])
+def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens):
     monkeypatch.setattr(jaccard_join, "LIST_PAIRS", list_pairs)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block_tokens)
     rows = ODD + similar_rows() + [(600, "a b c"), (601, "A  B\tc"), (602, "a b"), (603, "a b c d e"), (604, "a b c d e")]
