@@ -1,12 +1,13 @@
 """Exact duplicates by static binary-fuse filters over immutable snapshots.
 
 Each snapshot has, per digest bucket, one binary-fuse filter over its distinct digests. Digests of an
-incoming batch are screened by the filters; only positives, and digests that repeat inside the batch,
-meet the exact buckets, where whole texts are compared byte for byte.
+incoming batch are screened by the filters; only the rows of positives, and of digests that repeat inside the
+batch, join the exact buckets, where whole texts are compared byte for byte. All other rows are known to be
+alone, and their texts are not shuffled while the list of the suspect digests is short enough to be broadcast.
 
 Defined cases: a null text is the empty text; repeated rows and repeated ids each count as a row; a null
-doc_id is a row that never stays unless its whole group has null ids; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+doc_id is a row that never stays unless its whole group has null ids; very long texts are compared whole; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import join_hot, mix, shuffle_partitions, stored, texts
+from namefold.llm.common import BROADCAST_KEYS, join_hot, mix, shuffle_partitions, stored, texts
 
 #: Digests in one filter; a snapshot has as many buckets as this asks for.
 BUCKET_KEYS = 100_000
@@ -88,20 +89,39 @@ def sha256(text: bytes) -> bytes:
     return hashlib.sha256(text).digest()
 
 
-def normalised(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256, keep_text: bool = True) -> DataFrame:
-    """(doc_id, digest, sha, text): text with A-Z lower-cased and its digest."""
+def digested(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """(doc_id, digest, sha): the digest and the SHA-256 of each text with A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [x.lower() for x in texts(batch.column("text"))]  # bytes.lower() changes A-Z alone
+            sha = pa.array([sha256(x) for x in low], pa.binary())
+            own = sha if digest is sha256 else pa.array([digest(x) for x in low], pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": own, "sha": sha})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, sha binary")
+
+
+def suspect_texts(docs: DataFrame, suspects: DataFrame, total: int, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """(doc_id, digest, text) of the rows whose digest is among the ``suspects`` (digest, n): text with A-Z lower-cased.
+
+    A short list of suspects is sent to the scans, so that no other text leaves them; a longer one meets all
+    texts in one shuffle by digest, hot ones salted.
+    """
+    few = suspects.count() <= BROADCAST_KEYS
+    wanted = np.unique(_key(suspects.select("digest").toArrow().column("digest").to_pylist())) if few else np.empty(0, dtype=np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [x.lower() for x in texts(batch.column("text"))]
             digests = [digest(x) for x in low]
-            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()), "digest": pa.array(digests, pa.binary())}
-            if keep_text:
-                columns["text"] = pa.array(low, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            held = np.flatnonzero(np.isin(_key(digests), shared.value)) if few else np.arange(len(low))
+            columns = {"digest": pa.array([digests[k] for k in held], pa.binary()), "text": pa.array([low[k] for k in held], pa.binary())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(held))} | columns)
 
-    schema = "doc_id long, digest binary" + ", text binary" * keep_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, text binary")
+    return rows if few else join_hot(rows, suspects, "digest", "n", total).drop("n")
 
 
 def _key(digests: list[bytes]) -> np.ndarray:
@@ -141,9 +161,10 @@ def deduplicate(docs: DataFrame, snapshots: int = 1, digest: Callable[[bytes], b
     equal digests of different texts are told apart by their bytes.
     """
     spark = docs.sparkSession
-    keyed = normalised(docs, digest, keep_text=False).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(snapshots + 1)))
-    per_part = stored(keyed.groupBy("part", "digest").agg(F.count("*").alias("n")))
-    total = per_part.agg(F.sum("n")).first()[0] or 0
+    rows = stored(digested(docs, digest))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(snapshots + 1)))
+    per_part = stored(dealt.groupBy("part", "digest").agg(F.count("*").alias("n")))
+    total = rows.count()
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_KEYS))
     per_part = per_part.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
     suspects = per_part.where("n > 1").select("digest")  # duplicates inside one snapshot or the new batch
@@ -151,29 +172,16 @@ def deduplicate(docs: DataFrame, snapshots: int = 1, digest: Callable[[bytes], b
         filters = build_filters(per_part.where(F.col("part") == k))
         later = per_part.where(F.col("part") > k).groupBy("bucket", "digest").agg(F.count("*").alias("_n"))
         suspects = suspects.unionByName(screen(later, filters))
-    suspects = suspects.distinct()
+    suspects = stored(per_part.join(suspects.distinct(), "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("n")))
     # Exact buckets: a group holds equal bytes, and copies meet in their own task first.
-    exact = normalised(docs, digest).groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    checked = exact.join(suspects, "digest", "left_semi")
-    checked = stored(checked.select("digest", F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id"))
+    exact = suspect_texts(docs, suspects, total, digest).groupBy("digest", "text").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    checked = stored(exact.select("digest", F.unhex(F.sha2("text", 256)).alias("sha"), "group_size", "keep_id"))
     by_digest = checked.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    rows = normalised_sha(docs, digest)
     out = join_hot(rows, by_digest, "digest", "n", total, "left")
-    same = out.where("texts is null or texts = 1").select("doc_id", "keep_id", "group_size", "text_sha256")
+    same = out.where("texts is null or texts = 1").select("doc_id", "sha", "keep_id", "group_size")
     # Texts that share a digest: told apart by the bytes, through their own hash.
-    clash = out.where("texts > 1").select("doc_id", "text_sha256").join(checked.select("text_sha256", "keep_id", "group_size"), "text_sha256")
-    all_rows = same.unionByName(clash.select("doc_id", "keep_id", "group_size", "text_sha256"))
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return all_rows.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
-
-
-def normalised_sha(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
-    """(doc_id, digest, text_sha256) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [x.lower() for x in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "digest": pa.array([digest(x) for x in low], pa.binary()), "text_sha256": [hashlib.sha256(x).hexdigest() for x in low]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, text_sha256 string")
+    clash = join_hot(out.where("texts > 1").select("doc_id", "sha"), checked.select("sha", "keep_id", "group_size"), "sha", "group_size", total)
+    all_rows = same.unionByName(clash.select(*same.columns))
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return all_rows.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
