@@ -5,11 +5,13 @@ runs of ``size`` words, or the whole item when it is shorter. A window is contai
 shingles are, so its necessary prefix, in the order of rarity over all documents, is its rarest shingle. A
 document's shingles meet that index; the shingle's place in the window gives the only place of the window
 in the document (positional bound), which must lie inside the document (length bound); the words are then
-compared. The benchmark is taken in blocks of bounded size, each against all documents.
+compared. Equal windows of a block are one, with the list of their items. The benchmark is taken in blocks of
+bounded size, each against all documents.
 
 Defined cases: null texts and texts without words have no words, no hits and are clean; an item without
 words has no window; repeated items count once by item_id and a null item_id is the empty string; repeated
-documents each give a row; empty tables give clean or no rows; other columns are not read.
+documents each give a row; very long texts are taken whole, one at a time, and repeated words in them cost no more
+than others; empty tables give clean or no rows; other columns, whatever their names, are carried but not read.
 """
 
 from __future__ import annotations
@@ -53,14 +55,20 @@ class Words:
 
 
 class Block:
-    """The windows of some items and the shingles among which each picks its rarest."""
+    """The distinct windows of some items and the shingles among which each picks its rarest."""
 
     def __init__(self, ids: list[str], items: list[bytes], size: int) -> None:
         self.ids, self.words = ids, Words(items)
         w = self.words
-        self.at = np.concatenate([np.arange(f, f + max(c - size + 1, min(c, 1))) for f, c in zip(w.first, w.counts, strict=True)] or [np.empty(0)]).astype(np.int64)
-        self.item = w.doc[self.at]
-        self.length = np.minimum(w.counts[self.item], size)
+        at = np.concatenate([np.arange(f, f + max(c - size + 1, min(c, 1))) for f, c in zip(w.first, w.counts, strict=True)] or [np.empty(0)]).astype(np.int64)
+        item = w.doc[at]
+        first, number = self._distinct(at, np.minimum(w.counts[item], size))
+        self.at = at[first]
+        self.length = np.minimum(w.counts[w.doc[self.at]], size)
+        # The items of window k are held[edge[k] : edge[k + 1]].
+        pairs = np.unique(np.stack([number, item]), axis=1) if len(at) else np.empty((2, 0), dtype=np.int64)
+        self.held, self.edge = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.at) + 1))
+        self.spelled = self._spelled()
         width = np.minimum(self.length, SHINGLE)
         # Each window's shingles, as (window, offset, value).
         reach = self.length - width + 1
@@ -76,6 +84,30 @@ class Block:
         self.index: tuple[np.ndarray, ...] = ()
         self.filter = self._filter(self.values)
 
+    def _distinct(self, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first window of each kind, kind of each window) by the hashes of all their words."""
+        w, value = self.words, np.zeros(len(at), dtype=np.uint64)
+        for n in np.unique(length).tolist():
+            value[length == n] = windows(w.hashes, n)[at[length == n]] + np.uint64(n)
+        first, number = np.unique(value, return_index=True, return_inverse=True)[1:]
+        model = first[number]
+        alike = length == length[model]
+        for k in range(int(length.max(initial=0))):
+            on = alike & (k < length)
+            alike[on] = w.hashes[at[on] + k] == w.hashes[at[model[on]] + k]
+        odd = np.flatnonzero(~alike)  # other words of the same hash are windows of their own
+        number[odd] = len(first) + np.arange(len(odd))
+        return np.concatenate([first, odd]), number
+
+    def _spelled(self) -> dict[int, bytes | None]:
+        """The word behind each hash; None where several words have it."""
+        w, out = self.words, {}
+        for h, a, b in zip(w.hashes.tolist(), w.starts.tolist(), w.ends.tolist(), strict=True):
+            word = w.buffer[a:b]
+            if out.setdefault(h, word) != word:
+                out[h] = None
+        return out
+
     @staticmethod
     def _filter(values: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << 20, dtype=bool)
@@ -121,11 +153,27 @@ class Block:
             on = same & (k < length)
             same[on] = words.hashes[place[on] + k] == self.words.hashes[self.at[window[on]] + k]
         place, window = place[same], window[same]
-        # Equal hashes are checked by the words themselves.
-        exact = [words.bytes_at(p, n) == self.words.bytes_at(a, n) for p, a, n in zip(place.tolist(), self.at[window].tolist(), self.length[window].tolist(), strict=True)]
-        exact = np.array(exact, dtype=bool)
+        # Equal hashes are checked by the words themselves, each word that a hit covers once.
+        step = np.zeros(len(words.starts) + 1, dtype=np.int64)
+        np.add.at(step, place, 1)
+        np.add.at(step, place + self.length[window], -1)
+        covered = np.flatnonzero(np.cumsum(step) > 0)
+        odd = np.zeros(len(words.starts) + 1, dtype=np.int64)
+        odd[covered] = [self.spelled[h] != words.buffer[a:b] for h, a, b in zip(words.hashes[covered].tolist(), words.starts[covered].tolist(), words.ends[covered].tolist(), strict=True)]
+        before = np.concatenate([[0], np.cumsum(odd)])
+        exact = before[place + self.length[window]] == before[place]
+        for k in np.flatnonzero(~exact).tolist():
+            n = int(self.length[window[k]])
+            exact[k] = words.bytes_at(int(place[k]), n) == self.words.bytes_at(int(self.at[window[k]]), n)
         return place[exact], window[exact]
 
+    def items(self, doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (document, item) of hits."""
+        doc, window = np.unique(np.stack([doc, window]), axis=1)
+        many = self.edge[window + 1] - self.edge[window]
+        at = np.repeat(self.edge[window] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return tuple(np.unique(np.stack([np.repeat(doc, many), self.held[at]]), axis=1))
+
 
 def _counted(docs: DataFrame, block: Block) -> np.ndarray:
     """In how many documents each shingle of the block occurs, over all documents."""
@@ -134,7 +182,7 @@ def _counted(docs: DataFrame, block: Block) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
         total = np.zeros(len(mine.values), dtype=np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             words = Words(texts(batch.column("text")))
             place, low, _ = mine.matches(words, mine.values)
             pairs = np.unique(words.doc[place] * len(mine.values) + low)
@@ -168,11 +216,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
         blocks.append(_scan(docs, Block([], [], size)))
     if len(blocks) == 1:
         return blocks[0].select("doc_id", "row", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_hit"), "items").transform(_judged)
-    # Blocks meet by row; equal rows have equal answers, so each answer counts once for each block.
-    every = blocks[0]
-    for block in blocks[1:]:
-        every = every.unionByName(block)
-    n = len(blocks)
+    # Blocks meet by row. Equal rows have equal answers, so of each block a row of them is kept with their number.
+    every = None
+    for k, block in enumerate(blocks):
+        one = block.groupBy("doc_id", "row").agg(*(F.first(c).alias(c) for c in ("n_words", "spans", "items")), F.count("*").alias("copies")).withColumn("block", F.lit(k))
+        every = one if every is None else every.unionByName(one)
 
     def merge(group: pa.Table) -> pa.Table:
         spans = sorted({(s["at"], s["at"] + s["n"]) for row in group.column("spans").to_pylist() for s in row})
@@ -181,10 +229,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
             hit += max(0, b - max(a, end))
             end = max(end, b)
         items = sorted({x for row in group.column("items").to_pylist() for x in row})
-        k = group.num_rows // n
-        return pa.table({"doc_id": pa.array([group.column("doc_id")[0].as_py()] * k, pa.int64()), "row": pa.array([group.column("row")[0].as_py()] * k, pa.int64()), "n_words": pa.array([group.column("n_words")[0].as_py()] * k, pa.int64()), "n_hit": pa.array([hit] * k, pa.int64()), "items": pa.array([items] * k, pa.list_(pa.string()))})
+        return group.slice(0, 1).select(["doc_id", "row", "n_words", "copies"]).append_column("n_hit", pa.array([hit], pa.int64())).append_column("items", pa.array([items], pa.list_(pa.string())))
 
-    return every.groupBy("doc_id", "row").applyInArrow(merge, "doc_id long, row long, n_words long, n_hit long, items array<string>").transform(_judged)
+    merged = every.groupBy("doc_id", "row").applyInArrow(merge, "doc_id long, row long, n_words long, copies long, n_hit long, items array<string>")
+    each = merged.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("doc_id", "row", "n_words", "n_hit", "items").transform(_judged)
 
 
 def _judged(df: DataFrame) -> DataFrame:
@@ -199,7 +248,7 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             words = Words(texts(batch.column("text")))
             spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             items: list[list[str]] = [[] for _ in range(batch.num_rows)]
@@ -215,8 +264,7 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
                 ends = np.flatnonzero((inside[1:-1] == 1) & ((inside[2:] == 0) | edge[1:])) + 1
                 for a, b, d in zip(starts.tolist(), ends.tolist(), words.doc[starts].tolist(), strict=True):
                     spans[d].append({"at": a - int(words.first[d]), "n": b - a})
-                found = np.unique(np.stack([words.doc[place], mine.item[window]]), axis=1)
-                for d, i in zip(*found.tolist(), strict=True):
+                for d, i in zip(*(x.tolist() for x in mine.items(words.doc[place], window)), strict=True):
                     items[d].append(mine.ids[i])
             kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row": batch.column("row"), "n_words": pa.array(words.counts.astype(np.int64)), "spans": pa.array(spans, kind), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))})
@@ -225,7 +273,8 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    """The rows of ``docs``, with all their columns, that are not contaminated. A row goes for its own text, whatever
+    other rows its doc_id stands on; the other cases are the module's."""
     bad = contamination(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("id"), F.col("row").alias("text_hash"))
     marked = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
     return without(marked, bad, "id", "text_hash").select("kept.*")
