@@ -2,10 +2,12 @@
 
 A sequence is filled greedily with the longest pieces that fit. When nothing fits the gap that is left, its
 smallest piece is replaced with the two unpacked pieces that fit the gap, expanded by that piece, most
-tightly. The pieces are dealt at random over shards of bounded size, each packed by one task.
+tightly. Replacing a sequence's only piece, which puts long pieces off, more often costs sequences than it saves,
+so each shard is filled with and without that, and the fewer sequences count. The pieces are dealt at random over shards of bounded size, each packed by one task.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; equal rows are pieces of
-their own; equal lengths go in row order; an empty table gives an empty result; other columns are not read.
+their own; equal lengths go in row order; very long texts are tokenised whole and cut; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -124,11 +126,28 @@ def _pair(free: int, back: int, counts: list[int], size: int, most: int, least:
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece. Bits of two integers mark which lengths are still there."""
+    """(sequence, offset) of each piece."""
     lengths = np.asarray(lengths, dtype=np.int64)
+    bins = min((_filled(lengths, size, least) for least in (2, 1)), key=len)
     order = np.argsort(-lengths, kind="stable")
-    counts = np.bincount(lengths, minlength=size + 1).tolist()
     first = np.searchsorted(-lengths[order], -np.arange(size + 1), "left").tolist()
+    sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
+    for k, held in enumerate(bins):
+        at = 0
+        for n in held:
+            row = order[first[n]]
+            first[n] += 1
+            sequence[row], offset[row] = k, at
+            at += n
+    return sequence, offset
+
+
+def _filled(lengths: np.ndarray, size: int, least: int) -> list[list[int]]:
+    """The lengths in each sequence; one of fewer than ``least`` pieces has none replaced.
+
+    Bits of two integers mark which lengths are still there.
+    """
+    counts = np.bincount(lengths, minlength=size + 1).tolist()
     free = sum(1 << n for n, c in enumerate(counts) if c)
     back = sum(1 << (size - n) for n, c in enumerate(counts) if c)
 
@@ -154,7 +173,7 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
             take(n)
             held.append(n)
             gap -= n
-        while gap and len(held) > 1:
+        while gap and len(held) >= least:
             small = min(held)
             pair = _pair(free, back, counts, size, gap + small, small)
             if pair is None:
@@ -166,15 +185,7 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
             put(small)
             gap += small - sum(pair)
         bins.append(held)
-    sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
-    for k, held in enumerate(bins):
-        at = 0
-        for n in held:
-            row = order[first[n]]
-            first[n] += 1
-            sequence[row], offset[row] = k, at
-            at += n
-    return sequence, offset
+    return bins
 
 
 def packed(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
