@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namefold.llm.common import texts
+from namefold.llm.common import stored, texts
 
 #: Words that a worker remembers; when so many are new, the older half goes.
 CACHE_WORDS = 400_000
+#: Bytes of text that a score is learned from, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 class Remembered(dict):
@@ -37,15 +39,27 @@ def fold(modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, most: int) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most ``most`` labelled documents, the first by a hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, most: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most ``most`` labelled documents, the first by a hash of their id, that hold at
+    most ``most_bytes`` together; a document that does not fit beside those before it is left out.
 
-    Rows without text, id or label are not learned from; an id that is labelled twice counts once.
+    Rows without text, id or label are not learned from; an id that is labelled twice counts once, with the
+    greater label, and of an id with several texts the least text counts.
     """
+    spark = docs.sparkSession
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().where(usable)
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().join(F.broadcast(ids), "doc_id").toArrow()
-    rows = rows.sort_by("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().join(F.broadcast(ids), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("at"), F.octet_length("text").alias("size")).toArrow()
+    taken, left = [], most_bytes
+    for row in sizes.sort_by([("at", "ascending"), ("doc_id", "ascending")]).to_pylist():
+        if row["size"] <= left:
+            taken.append((row["doc_id"],))
+            left -= row["size"]
+    if len(taken) < sizes.num_rows:
+        rows = rows.join(F.broadcast(spark.createDataFrame(taken, "doc_id long")), "doc_id")
+    rows = rows.toArrow().sort_by("doc_id")
     return rows.column("text").to_pylist(), rows.column("label").to_pylist()
 
 

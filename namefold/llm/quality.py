@@ -6,7 +6,8 @@ document has the mean of its tokens' vectors, and a softmax over the classes giv
 
 Learns from at most ``sample`` labelled documents, never from held-out ones. Defined cases: null and empty
 texts have the score of the mean vector 0, that is, of the bias; without labels of both kinds every score is
-0.5; repeated rows each give a row; a null doc_id is not held out; other columns are not read.
+0.5; repeated rows each give a row; a null doc_id is not held out; very long texts are scored whole; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations

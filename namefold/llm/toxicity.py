@@ -8,8 +8,8 @@ Learns from at most ``sample`` labelled documents, never from held-out ones, ove
 ``LEAST`` of those documents have; there is no other choice of terms, so terms that mean something only together
 have their vectors too. Buckets that alone tell the classes apart no better than chance learn at slower rates,
 since many rare terms would otherwise remember single documents. Defined cases: null and empty texts have the score of the bias; without labels
-of both kinds every score is 0.5; repeated rows each give a row; a null doc_id is not held out; other columns
-are not read.
+of both kinds every score is 0.5; repeated rows each give a row; a null doc_id is not held out; very long texts are
+scored whole; empty tables give no rows; other columns, whatever their names, are carried but not read.
 """
 
 from __future__ import annotations
@@ -137,7 +137,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``. Rows are judged by their own text."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``: those that ``classify`` predicts
+    as 0. Rows are judged by their own text, so of rows with one doc_id some may go; the other cases are the module's."""
     held = fold(FOLDS) == HELD_OUT
     model = train(*labelled_sample(docs, labels, "toxic", ~held, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
