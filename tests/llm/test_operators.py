@@ -34,8 +34,9 @@ def exact_by_hand(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("snapshots", [1, 3])
-def test_exact_dedup(spark, docs_of, snapshots):
+@pytest.mark.parametrize("snapshots, broadcast", [(1, 500_000), (3, 0)])
+def test_exact_dedup(spark, docs_of, monkeypatch, snapshots, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
     rows = ODD + [(100 + k, f"Copy {k % 7}") for k in range(60)]
     assert rows_of(exact_dedup.deduplicate(docs_of(rows), snapshots)) == exact_by_hand(rows)
 
@@ -46,6 +47,13 @@ def test_exact_dedup_compares_bytes_when_digests_collide(spark, docs_of):
     assert rows_of(exact_dedup.deduplicate(docs_of(rows), digest=weak)) == exact_by_hand(rows)
 
 
+def test_only_suspect_texts_leave_the_scan(spark, docs_of):
+    rows = [(k, f"alone {k}") for k in range(30)] + [(40, "Twice"), (41, "tWICE")]
+    suspects = spark.createDataFrame([(bytearray(hashlib.sha256(b"twice").digest()), 2)], "digest binary, n long")
+    sent = exact_dedup.suspect_texts(docs_of(rows), suspects, len(rows)).collect()
+    assert sorted((r["doc_id"], bytes(r["text"])) for r in sent) == [(40, b"twice"), (41, b"twice")]
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(0)
     for n in (1, 2, 7, 100, 5000):
@@ -85,7 +93,8 @@ def test_line_dedup(spark, docs_of):
 def test_line_dedup_keeps_columns(spark, docs_of):
     df = docs_of([(k, "common " * 10 + f"\nown {k}") for k in range(6)])
     out = line_dedup.clean(df)
-    assert out.columns == df.columns
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert {(r["kept_text"], r["n_lines"], r["_drop"], r["row"]) for r in out.collect()} == {("own kept_text", "own n_lines", "own _drop", "own row")}
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()} == {(k, f"own {k}", 5) for k in range(5)} | {(5, "common " * 10 + "\nown 5", 76)}
 
 
@@ -218,6 +227,32 @@ def test_decontamination(spark, docs_of, monkeypatch, block_bytes):
     assert clean.columns == df.columns and clean.count() == sum(not x[-1] for x in hits_by_hand(rows, items))
 
 
+def test_decontamination_of_repeated_words(spark, docs_of):
+    """Long runs of one word, or of a phrase, cost no more than other words."""
+    import time
+
+    items = [(1, "rep " * 5000), (2, "one two " * 3000), (3, "rep " * 13)]
+    rows = [(1, "rep " * 20_000), (2, "two one " * 10_000), (3, "rep " * 12), (4, "Lead rep " + "one two " * 7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    block = decontaminate.Block([str(i) for i, _ in items], [t.encode() for _, t in items], 13)
+    block.pick(np.zeros(len(block.values), dtype=np.int64))
+    words = decontaminate.Words([t.lower().encode() for _, t in rows])
+    begun = time.time()
+    block.hits(words)
+    assert time.time() - begun < 5 and len(block.at) == 3
+    assert rows_of(decontaminate.digests(docs_of(rows), bench)) == hits_by_hand(rows, items)
+
+
+def test_words_of_equal_polynomials_differ():
+    """Thue-Morse words have equal polynomials modulo 2**64, whatever the base."""
+    from namefold.llm.common import word_hashes
+
+    one = bytes(97 + bin(k).count("1") % 2 for k in range(4096))
+    other = bytes(195 - x for x in one)
+    a, b, c = word_hashes(one + b" " + other + b" " + one)[2].tolist()
+    assert a == c != b
+
+
 def test_decontamination_without_items(spark, docs_of):
     out = decontaminate.digests(docs_of(ODD), spark.createDataFrame([], "item_id long, text string"))
     assert rows_of(out) == hits_by_hand(ODD, [])
@@ -266,6 +301,16 @@ def test_best_two_fit_replaces_the_smallest():
     assert sequence[0] == sequence[2] == sequence[3] != sequence[1] and sorted(offset[[0, 2, 3]]) == [0, 6, 8]
 
 
+def test_best_two_fit_of_lone_pieces():
+    # Greedy leaves 7, 4, 4 and 4 in three sequences of 10; no gap takes a third piece.
+    assert packing.best_two_fit(np.array([7, 4, 4, 4]), 10)[0].max() == 2
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 101, 500), rng.integers(30, 75, 500)):
+        sequence, offset = packing.best_two_fit(lengths, 100)
+        assert len({*zip(sequence.tolist(), offset.tolist())}) == 500 and np.bincount(sequence, weights=lengths).max() <= 100
+        assert sequence.max() + 1 == min(len(packing._filled(lengths, 100, k)) for k in (1, 2))
+
+
 # Chat.
 
 
@@ -349,27 +394,39 @@ def test_urls(spark):
     assert out[2000, ""]["score"] == 0 and out[None, "a.net"]["rule"] == "net/de/"
 
 
-def test_url_counts_are_exact_beyond_65536_contexts(spark):
-    rng = np.random.default_rng(0)
-    rows = [(k, f"http://a.{'net/de' if k % 2 else 'com/en'}/{rng.integers(16**10):010x}") for k in range(20_000)]
-    model, _ = url_filter.fit(url_filter._parsed(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES))
+def url_scores_by_hand(rows, names):
+    """Scores of names by counts of the rows (page, url) with URLs under net/de/ as allowed and under com/en/ as blocked."""
     n = (defaultdict(int), defaultdict(int))
     grams = lambda x: [(k, (b"\0" * 5 + x)[i + 5 - k : i + 5], x[i : i + 1]) for i in range(len(x)) for k in range(6)]
     for page, url in rows:
-        if zlib.crc32(str(page).encode()) % 5:
+        if zlib.crc32(str(page).encode()) % 5 and ("net/de" in url or "com/en" in url):
             for k, context, byte in grams(url[7:].encode()):
                 for key in ((k, context), (k, context, byte)):
-                    n[1 - page % 2][key] += 1
-    assert len({key for side in n for key in side if len(key) == 2 and key[0] == 5}) > 65_536
-    names = [f"b.org/fr/{rng.integers(16**10):010x}".encode() for _ in range(50)]
-    for name, score in zip(names, url_filter.scores(names, model), strict=True):
+                    n["com/en" in url][key] += 1
+    out = []
+    for name in names:
         logs = [0.0, 0.0]
         for side in (0, 1):
             for k, context, byte in grams(name):
                 p = 1 / 256 if k == 0 else p
                 p = (n[side][k, context, byte] + 2 * p) / (n[side][k, context] + 2)
                 logs[side] += np.log(p) if k == 5 else 0
-        assert score == pytest.approx((logs[0] - logs[1]) / len(name), abs=1e-9)
+        out.append((logs[0] - logs[1]) / max(len(name), 1))
+    return out, len({key for side in n for key in side if len(key) == 2 and key[0] == 5})
+
+
+def test_url_scores_equal_exact_counts(spark, monkeypatch):
+    """Over more than 65,536 contexts, in many chunks, with a repeated row, an empty name and a long one."""
+    monkeypatch.setattr(url_filter, "CHUNK_BYTES", 50_000)
+    monkeypatch.setattr(url_filter, "SLICE_BYTES", 20_000)
+    rng = np.random.default_rng(0)
+    rows = [(k, f"http://a.{'net/de' if k % 2 else 'com/en'}/{rng.integers(16**10):010x}") for k in range(20_000)]
+    asked = [(30_000 + k, f"http://b.org/fr/{rng.integers(16**10):010x}") for k in range(50)] + [(40_000, "http://b.org/" + "xyz" * 10_000), (40_001, "none"), (30_000, "http://b.org/fr/twice"), (30_000, "http://b.org/fr/twice")]
+    out = url_filter.judged(spark.createDataFrame(rows + asked, "page_id long, url string")).where("page_id >= 30000").collect()
+    names = [(r["host"] + r["path"]).encode() for r in out]
+    want, contexts = url_scores_by_hand(rows, names)
+    assert contexts > 65_536 and sorted(r["page_id"] for r in out) == sorted(i for i, _ in asked)
+    assert [r["score"] for r in out] == pytest.approx(want, abs=1e-9)
 
 
 def test_urls_without_rules_decided(spark):
