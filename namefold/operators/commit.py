@@ -2,14 +2,16 @@
 
 The loop over candidates by falling confidence, with incumbents, a displacement margin and locks, equals one
 greedy matching over the union of candidates and incumbents, where an incumbent stands at its confidence plus
-the margin (a locked one above all) behind candidates of the same key. The matching is found by rounds that
-accept every row that is first for both its ends.
+the margin (a locked one above all) behind candidates of the same key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from namefold.schema import MAPPING, PAIR
 
 MARGIN = 0.1
 LOCK_KEY = 1e9
+#: Rows that one task matches in order, at most: some 100 MB.
+ONE_TASK = 500_000
 
 
 @dataclass
@@ -48,17 +52,43 @@ def admissible(candidates: DataFrame, a: Project, b: Project, negatives: DataFra
     return rows.select(*candidates.columns, outcome.alias("outcome"))
 
 
+def _one_by_one(rows: DataFrame, order: list) -> DataFrame:
+    """The greedy matching of rows that fit one task."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used_a: set[str] = set()
+        used_b: set[str] = set()
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                free = a not in used_a and b not in used_b
+                if free:
+                    used_a.add(a)
+                    used_b.add(b)
+                kept.append(free)
+            yield batch[np.array(kept, dtype=bool)]
+
+    found = rows.repartition(1).sortWithinPartitions(*order).select("a", "b").mapInPandas(scan, "a string, b string")
+    return rows.join(stored(found), ["a", "b"], "left_semi")
+
+
 def greedy_matching(rows: DataFrame, order: list) -> DataFrame:
-    """The one-to-one greedy matching of distinct (a, b, ...) rows in a total order, by locally first rows."""
+    """The one-to-one greedy matching of distinct (a, b, ...) rows in a total order.
+
+    Rounds accept every row that is first for both its ends, until at most ONE_TASK rows are left, which one task takes in
+    order. A chain in which each row waits for the one before it settles a row a round at each end of it, so
+    only such a chain of more than ONE_TASK rows takes many rounds.
+    """
     first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order)) == 1
-    accepted, left = None, rows
-    while True:
+    accepted, left = None, stored(rows)
+    while left.count() > ONE_TASK:
         marked = stored(left.withColumn("_taken", first("a") & first("b")))
         taken = marked.where("_taken").drop("_taken")
         accepted = taken if accepted is None else accepted.unionByName(taken)
-        left = marked.where("not _taken").drop("_taken").join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti").select(*rows.columns)
-        if not left.head(1):
-            return accepted
+        left = marked.where("not _taken").drop("_taken").join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti")
+        left = stored(left.select(*rows.columns))
+    rest = _one_by_one(left, order)
+    return rest if accepted is None else accepted.unionByName(rest)
 
 
 def commit(state: State, candidates: DataFrame, a: Project, b: Project, margin: float = MARGIN, provenance: str = "reference") -> tuple[State, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,15 +139,17 @@ def field_mapping(a: Project, b: Project, mapping: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                places: dict[str, list[int]] = {}
+                places: dict[str, deque[int]] = {}
                 for j, t in enumerate(row.y):
-                    places.setdefault(t, []).append(j)
-                used: set[int] = set()
+                    places.setdefault(t, deque()).append(j)
+                free = np.ones(len(row.y), dtype=bool)
                 for i, t in enumerate(row.keep):
-                    free = [j for j in places.get(t, ()) if j not in used]
-                    if free:
-                        j = i if i in free else free[0]
-                        used.add(j)
+                    left = places.get(t, ())
+                    while left and not free[left[0]]:
+                        left.popleft()
+                    if left:
+                        j = i if i < len(free) and free[i] and row.y[i] == t else left[0]
+                        free[j] = False
                         out.append((row.a, row.b, i, j, row.own[i], row.y[j]))
             yield pd.DataFrame(out, columns=["a_class", "b_class", "a_idx", "b_idx", "a_type", "b_type"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,13 +36,14 @@ def fingerprint_pairs(a: DataFrame, b: DataFrame, base: float, ceiling: float =
     return pairs.select("a", "b", specificity(base, F.col("na"), F.col("nb"), ceiling).alias("confidence"))
 
 
-SHAPE = ("nf", "nm", "ns", "nn", "mods", "super")
+#: Modifiers that make a class of another kind.
+KINDS = ("interface", "enum", "annotation")
 
 
 def kinds_differ(x: Column, y: Column) -> Column:
     """Whether two sets of modifiers differ in what kind of class they make."""
     same = F.lit(True)
-    for kind in ("interface", "enum", "annotation"):
+    for kind in KINDS:
         same = same & (F.array_contains(x, kind) == F.array_contains(y, kind))
     return ~same
 
@@ -48,28 +52,60 @@ def resolve_buckets(a: Project, b: Project, ka: DataFrame, kb: DataFrame, confid
     """Within each bucket of equal keys, the one-to-one assignment that is greedy by (distance, a, b).
 
     The distance is the difference of member counts, less eight for an equal unobfuscated super; classes of
-    different kinds never pair. Buckets of one class a side need no assignment.
+    different kinds never pair. The classes of a bucket meet in one task, by their shapes: the distance depends
+    on these alone, so no list of pairs is made. Buckets of one side alone go before.
     """
-    shape = lambda p, side: p.classes.select(F.col("cid").alias(side), F.struct(*SHAPE).alias(f"s_{side}"))
-    pairs = ka.where("key is not null").select(F.col("cid").alias("a"), "key").join(kb.where("key is not null").select(F.col("cid").alias("b"), "key"), "key")
-    pairs = pairs.join(shape(a, "a"), "a").join(shape(b, "b"), "b").where(~kinds_differ(F.col("s_a.mods"), F.col("s_b.mods")))
-    gap = sum((F.abs(F.col(f"s_a.{c}") - F.col(f"s_b.{c}")) for c in ("nf", "nm", "ns", "nn")), F.lit(0))
-    same = (F.col("s_a.super") == F.col("s_b.super")) & (F.col("s_a.super") != "") & ~a.obfuscated("s_a.super")
-    pairs = pairs.select("key", "a", "b", (gap - F.when(same, 8).otherwise(0)).alias("distance")).withColumn("bucket", F.xxhash64("key"))
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        taken_a: set[str] = set()
-        taken_b: set[str] = set()
-        rows = []
-        for pair in group.sort_values(["distance", "a", "b"])[["a", "b"]].itertuples(index=False):
-            if pair.a not in taken_a and pair.b not in taken_b:
-                taken_a.add(pair.a)
-                taken_b.add(pair.b)
-                rows.append((pair.a, pair.b))
-        return pd.DataFrame(rows, columns=["a", "b"])
-
-    found = pairs.select("bucket", "a", "b", "distance").groupBy("bucket").applyInPandas(assign, "a string, b string")
-    return found.withColumn("confidence", F.lit(confidence))
+    counts = ("nf", "nm", "ns", "nn")
+
+    def side(p: Project, keys: DataFrame, at: int) -> DataFrame:
+        kind = sum((F.array_contains("mods", k).cast("int") * (1 << n) for n, k in enumerate(KINDS)), F.lit(0))
+        named = F.when((F.col("super") != "") & ~a.obfuscated("super"), F.col("super")).otherwise("")
+        shapes = p.classes.select("cid", kind.alias("kind"), *counts, F.coalesce(named, F.lit("")).alias("sup")).where("kind is not null")
+        rows = keys.where("key is not null").select("cid", F.sha2(F.to_json(F.struct("key")), 256).alias("bucket"), F.lit(at).alias("side"))
+        return rows.join(shapes, "cid")
+
+    both = side(a, ka, 0).unionByName(side(b, kb, 1))
+    shared = both.groupBy("bucket").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("bucket")
+    # Dealt by a hash of the bucket: a shuffle by the bucket itself may be left out behind the join, whose partitions change at run time.
+    rows = both.join(shared, "bucket", "left_semi").repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bucket", "side", "cid", "kind", *counts, "sup"]
+        every = (row for batch in batches for row in batch[columns].itertuples(index=False, name=None))
+        found: list[tuple[str, str]] = []
+        for _, bucket in groupby(every, key=lambda row: row[0]):
+            found += assigned([row[1:] for row in bucket])
+            if len(found) > 10_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+    return rows.mapInPandas(run, "a string, b string").withColumn("confidence", F.lit(confidence))
+
+
+def assigned(bucket: list[tuple]) -> list[tuple[str, str]]:
+    """Pairs of a bucket's rows (side, cid, kind, four counts, super), greedy by (distance, a, b)."""
+    ours: dict[tuple, list[str]] = {}
+    theirs: dict[tuple, deque[str]] = {}
+    for side, cid, *shape in sorted(bucket):
+        (ours if side == 0 else theirs).setdefault(tuple(shape), [] if side == 0 else deque()).append(cid)
+    levels: dict[int, dict[tuple, list[tuple]]] = {}
+    for x in ours:
+        for y in theirs:
+            if x[0] == y[0]:
+                gap = sum(abs(int(p) - int(q)) for p, q in zip(x[1:5], y[1:5], strict=True)) - (8 if x[5] == y[5] != "" else 0)
+                levels.setdefault(gap, {}).setdefault(x, []).append(y)
+    pairs = []
+    for gap in sorted(levels):
+        taken: set[str] = set()
+        for cid, x in sorted((cid, x) for x in levels[gap] for cid in ours[x]):
+            free = [theirs[y] for y in levels[gap][x] if theirs[y]]
+            if free:
+                pairs.append((cid, min(free, key=lambda q: q[0]).popleft()))
+                taken.add(cid)
+        for x in levels[gap]:
+            ours[x] = [cid for cid in ours[x] if cid not in taken]
+    return pairs
 
 
 def unique_tokens(tokens: DataFrame) -> DataFrame:
@@ -116,6 +152,10 @@ def capped(base: float, rise: float, column: str, most: float) -> Column:
     return F.least(base + rise * F.col(column), F.lit(most))
 
 
+#: Sets, smallest first, that narrow the candidates of a division one after another.
+NARROW = 3
+
+
 def division(images: DataFrame, reach: DataFrame, min_mapped: int, cap: int | None, skip_empty: bool = True) -> DataFrame:
     """Relational division: (a, cand, k) for every candidate that all images of ``a`` reach.
 
@@ -129,12 +169,16 @@ def division(images: DataFrame, reach: DataFrame, min_mapped: int, cap: int | No
     need = need.where("filled > 0") if skip_empty else need.where("filled = every")
     if cap is not None:
         need = need.where(F.col("least") <= cap)
-    # The smallest set seeds the candidates; each other set then has to hold them.
-    seed = wide.where("size is not null").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("size", "image"))).where("r = 1")
-    seeds = seed.select("a", "image").join(need.select("a"), "a", "left_semi").join(reach, "image").select("a", "cand")
-    held = seeds.join(wide.where("size is not null").select("a", "image"), "a").join(reach, ["image", "cand"])
+    # The smallest set seeds the candidates, the next two narrow them, and each other set then has to hold what is left.
+    ranked = wide.where("size is not null").join(need.select("a"), "a", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("size", "image"))).select("a", "image", "r")
+    left = ranked.where("r = 1").select("a", "image").join(reach, "image").select("a", "cand")
+    for r in range(2, NARROW + 1):
+        left = left.join(ranked.where(F.col("r") == r).select("a", "image"), "a", "left").join(reach.withColumn("hit", F.lit(1)), ["image", "cand"], "left")
+        left = left.where("image is null or hit = 1").select("a", "cand")
+    held = left.join(ranked.where(F.col("r") > NARROW).select("a", "image"), "a").join(reach, ["image", "cand"])
     full = held.groupBy("a", "cand").agg(F.count("*").alias("n"))
-    return full.join(need, "a").where("n = filled").select("a", "cand", "k")
+    found = left.join(need, "a").join(full, ["a", "cand"], "left")
+    return found.where(F.coalesce("n", F.lit(0)) == F.greatest(F.col("filled") - NARROW, F.lit(0))).select("a", "cand", "k")
 
 
 def content_score(pairs: DataFrame, a: Project, b: Project, mapping: DataFrame) -> DataFrame:

@@ -357,17 +357,19 @@ def siblings(kind: str) -> Proposal:
         rows = a.classes.join(refs.resolved(a.classes, ["cid"], mapping, a.prefix, s=_super_array(), i=F.col("impls")), "cid")
         marked = F.array_sort(F.transform("i", lambda x: F.coalesce(x["to"], F.lit("?"))))
         rows = rows.select(F.col("cid").alias("a"), F.when(F.lit(kind == "interfaces"), "").otherwise(_mapped_super()).alias("s"), F.when(F.lit(kind == "exact") | _whole("i"), marked).alias("i"), "mods", *("nm", "nf", "ns", "nn")).where("s is not null and i is not null")
-        there = b.classes.select(F.col("cid").alias("b"), F.when(F.lit(kind == "interfaces"), "").otherwise(F.col("super")).alias("s"), F.array_sort("impls").alias("i"), "mods", *(F.col(c).alias(f"{c}_b") for c in ("nm", "nf", "ns", "nn")))
+        there = b.classes.select(F.col("cid").alias("b"), F.when(F.lit(kind == "interfaces"), "").otherwise(F.col("super")).alias("s"), F.array_sort("impls").alias("i"), "mods", "nm", "nf", "ns", "nn")
         there = there.where("s is not null" if kind == "interfaces" else f"s is not null and s <> '' and s <> '{OBJECT}'")
         if kind == "interfaces":
             rows, there = rows.where(F.size("i") > 0), there.where(F.size("i") > 0)
+        key = ["s", "i", "mods", "nm", "nf", "nn", "ns"]
         if kind == "loose":
+            key.remove("ns")
             there = open_b(there, mapping)
-            near = (F.abs(F.col("nm") - F.col("nm_b")) <= 1) & (F.abs(F.col("nf") - F.col("nf_b")) <= 1) & (F.col("nn") == F.col("nn_b"))
-            met = rows.join(there, ["s", "i", "mods"]).where(near)
-        else:
-            met = rows.join(there, ["s", "i", "mods"]).where(" and ".join(f"{c} = {c}_b" for c in ("nm", "nf", "ns", "nn")))
-        one = met.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b")).where("n = 1")
+            around = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(f).alias("f")) for m in (-1, 0, 1) for f in (-1, 0, 1)))
+            rows = rows.withColumn("d", F.explode(around)).withColumn("nm", F.col("nm") + F.col("d.m")).withColumn("nf", F.col("nf") + F.col("d.f"))
+        # Siblings are counted per shape, so however many a super has, no pairs of them are made.
+        shapes = there.groupBy(*key).agg(F.count("*").alias("n"), F.min("b").alias("b"))
+        one = rows.select("a", *key).join(shapes, key).groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("b")).where("n = 1")
         return one.select("a", "b", F.lit(0.62 if kind == "loose" else 0.7).alias("confidence"))
 
     return propose
@@ -419,20 +421,29 @@ def signature_vote(min_votes: int = 4, ratio: float = 0.7) -> Proposal:
     return propose
 
 
-def best_effort(least: float, margin: float, strings_cap: int = 200, most: int = 50) -> Proposal:
+def best_effort(least: float, margin: float, most: int = 50) -> Proposal:
     """The best content score among two to ``most`` unmatched classes that share a string or a stable reference.
 
     References seed the classes whose strings find fewer than ``most``: the first five in the order of calls,
-    accesses and types. Strings all count; the gate on the number of candidates bounds the rest.
+    accesses and types. Strings all count; one that more than ``most`` unmatched classes hold rules its class out
+    before any pairs are made.
     """
 
     def propose(a: Project, b: Project, mapping: DataFrame) -> DataFrame:
         long = lambda p, k: p.strings.where(F.length("s") >= 6).withColumnRenamed("cid", k)
         rows = open_a(a.classes.select(F.col("cid").alias("a"), F.slice(F.filter(F.concat("calls", "facc", "trefs"), lambda x: ~x.startswith(a.prefix)), 1, 5).alias("refs")), mapping)
-        by_string = open_a(long(a, "a"), mapping).join(long(b, "b"), "s").select("a", "b").distinct()
-        few = rows.join(by_string.groupBy("a").agg(F.count("*").alias("n")), "a", "left").where(f"n is null or n < {most}")
+        there = long(b, "b").join(mapping.select("b", F.lit(True).alias("_m")), "b", "left")
+        there = there.select("b", "s", (F.col("_m").isNull() & b.obfuscated("b")).alias("open"))
+        holders = there.groupBy("s").agg(F.count("*").alias("every"), F.sum(F.col("open").cast("int")).alias("free"))
+        here = open_a(long(a, "a"), mapping).join(holders, "s")
+        of = here.groupBy("a").agg(F.max("every").alias("every"), F.max("free").alias("free"))
+        ruled_out, many = of.where(F.col("free") > most).select("a"), of.where(F.col("every") >= most).select("a")
+        usable = there.join(holders, "s").where((F.col("every") < most) | (F.col("open") & (F.col("free") <= most))).select("s", "b", "open")
+        pairs = here.select("a", "s").join(ruled_out, "a", "left_anti").join(usable, "s").select("a", "b", "open").distinct()
+        few = rows.join(ruled_out, "a", "left_anti").join(many, "a", "left_anti")
+        few = few.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "left").where(f"n is null or n < {most}")
         by_ref = few.select("a", F.explode("refs").alias("dst")).join(b.links, "dst").select("a", F.col("src").alias("b"))
-        found = open_b(by_string.unionByName(by_ref).distinct().where(b.obfuscated("b")), mapping)
+        found = open_b(pairs.where("open").select("a", "b").unionByName(by_ref).distinct().where(b.obfuscated("b")), mapping)
         found = found.withColumn("n", F.count("*").over(Window.partitionBy("a"))).where(F.col("n").between(2, most))
         best = P.best_scores(P.content_score(found, a, b, mapping), least, margin)
         return best.select("a", "b", (0.6 + F.col("lead")).alias("confidence"))

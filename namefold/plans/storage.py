@@ -5,16 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named by spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="namefold-")  # local sessions only: a cluster names its shared folder
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        base = tempfile.mkdtemp(prefix="namefold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/namefold-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/namefold-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = work_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

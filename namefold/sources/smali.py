@@ -267,3 +267,19 @@ def scan_tree(spark: SparkSession, root: str, prefix: str = "LX/", drop_lists: b
             yield pd.DataFrame([r for r in found if r], columns=CLASS.fieldNames())
 
     return files.mapInPandas(parse, CLASS)
+
+
+def write_tree(classes: DataFrame, root: str) -> None:
+    """Write class files (path, text) below ``root``, each from the task that holds it."""
+    from pyarrow import fs
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                system, local = fs.FileSystem.from_uri(f"{root.rstrip('/')}/{path}")
+                system.create_dir(local.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(local) as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    classes.select("path", "text").mapInPandas(write, "files long").agg(F.sum("files")).collect()

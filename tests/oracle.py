@@ -1,5 +1,7 @@
 """Run a query and its SQL twin over the same tables and compare all rows."""
 
+from decimal import Decimal
+
 import duckdb
 
 SF = "/root/testdata/sf0.001"
@@ -7,7 +9,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(rows):
-    return sorted((tuple(str(x) for x in r) for r in rows))
+    """Rows in one order, each value as its text; numbers with fractions as floats, whatever their type."""
+    return sorted(tuple(str(float(x)) if isinstance(x, (float, Decimal)) else str(x) for x in r) for r in rows)
 
 
 def same_rows(spark, query, sql, sf=SF):
