@@ -19,9 +19,9 @@ SAMPLE_BYTES = 64 << 20
 class Remembered(dict):
     """Two generations of values by word, made on first use."""
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> object:
         value = self.old[word] if word in self.old else self.make(word)
@@ -29,7 +29,7 @@ class Remembered(dict):
         return value
 
     def age(self) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 

@@ -28,6 +28,8 @@ from namefold.llm.learning import Remembered, fold, labelled_sample, scored
 BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-3
 #: Documents learned from, at most; a bucket is in so many of those documents at least.
 SAMPLE, LEAST = 6000, 3
+#: Words that the driver remembers while it learns.
+TRAIN_WORDS = 100_000
 #: Buckets whose chi-square is at most CHANCE * ln(number of buckets) learn weights and vectors at these parts of RATE.
 CHANCE, SLOW_WEIGHT, SLOW_VECTOR = 2.0, 0.03, 0.2
 #: Spread of the vectors at the start, and the squared gradients that each bucket starts with.
@@ -49,11 +51,11 @@ def terms(word: str) -> tuple[int, ...]:
 
 def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(buckets, weights, vectors, bias)."""
-    known = Remembered(terms)
+    known = Remembered(terms, TRAIN_WORDS)
     y = np.array(labels, dtype=np.float64)
     if len(np.unique(y)) < 2:
         return np.empty(0, dtype=np.int64), np.empty(0), np.empty((0, FACTORS)), 0.0
-    found, counts = [], []
+    found, values = [], []
     every, toxic = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
     for text, label in zip(documents, labels, strict=True):
         ids, n = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, text.lower().split())), dtype=np.int32), return_counts=True)
@@ -61,52 +63,64 @@ def train(documents: list[str], labels: list[int], seed: int = 1) -> tuple[np.nd
         every[ids] += 1
         toxic[ids] += label
         found.append(ids)
-        counts.append(n.astype(np.int32))
+        values.append((1 + np.log(n)).astype(np.float32))
+    del known
     share = y.mean()
     balance = min((1 - share) / share, MOST_BALANCE)
     bucket = np.flatnonzero(every >= LEAST)
     # Buckets that differ more from what the share of toxic documents would give than the most of so many would by chance.
     gain = (toxic[bucket] - every[bucket] * share) ** 2 / (every[bucket] * share * (1 - share))
     telling = gain > CHANCE * math.log(max(len(bucket), 1))
-    rate_w, rate_v = np.where(telling, RATE, RATE * SLOW_WEIGHT), np.where(telling, RATE, RATE * SLOW_VECTOR)[:, None]
-    number = np.full(BUCKETS, -1, dtype=np.int32)
-    number[bucket] = np.arange(len(bucket))
-    row, found = np.repeat(np.arange(len(y), dtype=np.int32), [len(ids) for ids in found]), number[np.concatenate(found)]
-    kept = found >= 0
-    row, mine, value = row[kept], found[kept], 1 + np.log(np.concatenate(counts)[kept])
-    del found, counts, kept, every, toxic, number
-    edge = np.searchsorted(row, np.arange(len(y) + 1))
+    rate_w, rate_v = np.where(telling, RATE, RATE * SLOW_WEIGHT), np.where(telling, RATE, RATE * SLOW_VECTOR)
+    del every, toxic
+    for k, ids in enumerate(found):  # document by document, so that little is held twice
+        at = np.minimum(np.searchsorted(bucket, ids), max(len(bucket) - 1, 0))
+        kept = bucket[at] == ids if len(bucket) else np.zeros(len(ids), dtype=bool)
+        found[k], values[k] = at[kept].astype(np.int32), values[k][kept]
+    edge = np.cumsum([0] + [len(ids) for ids in found])
+    mine, value = np.concatenate(found), np.concatenate(values)
+    del found, values
     rng = np.random.default_rng(seed)
-    weight, vector, bias = np.zeros(len(bucket)), rng.normal(0, SPREAD, (len(bucket), FACTORS)), 0.0
-    seen_w, seen_v, seen_b = np.full(len(bucket), SEEN), np.full((len(bucket), FACTORS), SEEN), 1e-8  # squared gradients so far
+    # One array for each factor, so that every step runs over plain arrays of a batch's terms.
+    weight, vector, bias = np.zeros(len(bucket)), list(np.ascontiguousarray(rng.normal(0, SPREAD, (len(bucket), FACTORS)).T)), 0.0
+    seen_w, seen_v, seen_b = np.full(len(bucket), SEEN), [np.full(len(bucket), SEEN) for _ in range(FACTORS)], 1e-8  # squared gradients so far
+    here, place = np.zeros(len(bucket), dtype=bool), np.zeros(len(bucket), dtype=np.int32)
+
+    def learn(parameter: np.ndarray, seen: np.ndarray, rate: np.ndarray, gradient: np.ndarray) -> None:
+        """One step of a parameter at the batch's buckets ``near``, whose gradient is summed over its terms."""
+        now = parameter[near]
+        g = np.bincount(at_near, weights=gradient, minlength=len(near)) + DECAY * now
+        past = seen[near] + g * g
+        seen[near] = past
+        parameter[near] = now - rate[near] * g / np.sqrt(past)
+
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             batch = order[k : k + BATCH]
             ids = np.concatenate([mine[edge[i] : edge[i + 1]] for i in batch])
-            x = np.concatenate([value[edge[i] : edge[i + 1]] for i in batch])
+            x = np.concatenate([value[edge[i] : edge[i + 1]] for i in batch]).astype(np.float64)
             doc = np.repeat(np.arange(len(batch)), edge[batch + 1] - edge[batch])
-            v = vector[ids] * x[:, None]
-            total = np.zeros((len(batch), FACTORS))
-            for f in range(FACTORS):
-                total[:, f] = np.bincount(doc, weights=v[:, f], minlength=len(batch))
-            squares = np.bincount(doc, weights=(v * v).sum(axis=1), minlength=len(batch))
-            z = bias + np.bincount(doc, weights=weight[ids] * x, minlength=len(batch)) + ((total * total).sum(axis=1) - squares) / 2
+            z = bias + np.bincount(doc, weights=weight[ids] * x, minlength=len(batch))
+            parts = []
+            for v in vector:
+                vx = v[ids] * x
+                total = np.bincount(doc, weights=vx, minlength=len(batch))
+                z += (total * total - np.bincount(doc, weights=vx * vx, minlength=len(batch))) / 2
+                parts.append(total[doc] - vx)
             off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * np.where(y[batch] == 1, balance, 1.0)
-            near, at_near = np.unique(ids, return_inverse=True)
-            g_w = np.bincount(at_near, weights=off[doc] * x, minlength=len(near)) + DECAY * weight[near]
-            g_v = np.zeros((len(near), FACTORS))
-            pull = (off[doc] * x)[:, None] * (total[doc] - v)
-            for f in range(FACTORS):
-                g_v[:, f] = np.bincount(at_near, weights=pull[:, f], minlength=len(near))
-            g_v += DECAY * vector[near]
-            seen_w[near] += g_w * g_w
-            seen_v[near] += g_v * g_v
+            here[ids] = True
+            near = np.flatnonzero(here)
+            place[near] = np.arange(len(near))
+            at_near = place[ids]
+            here[near] = False
+            pull = off[doc] * x
+            learn(weight, seen_w, rate_w, pull)
+            for v, seen, part in zip(vector, seen_v, parts, strict=True):
+                learn(v, seen, rate_v, pull * part)
             seen_b += off.sum() ** 2
-            weight[near] -= rate_w[near] * g_w / np.sqrt(seen_w[near])
-            vector[near] -= rate_v[near] * g_v / np.sqrt(seen_v[near])
             bias -= RATE * off.sum() / math.sqrt(seen_b)
-    return bucket, weight, vector, bias
+    return bucket, weight, np.stack(vector, axis=1), bias
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, np.ndarray, float]) -> Callable[[str], float]:
