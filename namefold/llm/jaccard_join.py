@@ -47,6 +47,8 @@ PIVOT_CHUNK = 256
 LIST_PAIRS = 4096
 #: Tokens of one block of sets.
 BLOCK_TOKENS = 400_000
+#: Links, at most, that one task unites (some 100 MB); more go through rounds of stars, with the same result.
+SMALL_LINKS = 300_000
 #: Routes of one node in one row.
 ROUTES = 500
 #: Rows of routes that are broadcast at most (of 40 bytes or so); more meet the documents in a shuffle.
@@ -519,6 +521,9 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = stored(_forest(links).where("u <> v").distinct())
     total = edges.count()
+    if 0 < total <= SMALL_LINKS:  # one task's forest of bounded size is the answer
+        edges = stored(_forest(edges.repartition(1)))
+        total = 0
     mark = None
     while total:
         edges = stored(stars(stars(edges, True), False))
