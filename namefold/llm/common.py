@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this session has made.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
@@ -40,7 +44,15 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="namefold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/namefold-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/namefold-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders made so far; call it when all results that read them are written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
