@@ -80,3 +80,16 @@ def test_assignment_is_optimal():
             best = min(sum(small[i, p[i]] for i in range(k)) for p in permutations(range(max(n, m)), k))
             assert len(got) == k and len({i for i, _ in got}) == len({j for _, j in got}) == k
             assert sum(cost[i, j] for i, j in got) == best
+
+
+def test_work_folders_are_shared_and_released(spark):
+    from pathlib import Path
+
+    from namefold.plans import storage
+
+    path = storage.work_dir(spark)
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert storage.stored(spark.range(3)).count() == 3
+    Path(path).mkdir(parents=True)
+    storage.release(spark)
+    assert not Path(path).exists()
