@@ -20,6 +20,10 @@ def test_pipeline_equals_its_operators_by_hand(spark):
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["toxicity"](spark, docs, SF)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    from namefold.llm import toxicity
+
+    clean = toxicity.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 0")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(r["doc_id"] for r in clean.select("doc_id").collect())
     from hashlib import sha256
 
     lines = stages["line dedup"](spark, kept, SF)

@@ -145,8 +145,9 @@ def similar_rows(n=70, words=80, seed=5):
     return rows + [(500 + k, " ".join(base[:30] + [f"z{k}y{j}" for j in range(30)])) for k in range(20)]
 
 
-@pytest.mark.parametrize("list_pairs, block_tokens", [(4096, 400_000), (10, 2000)])
-def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens):
+@pytest.mark.parametrize("list_pairs, block_tokens, links", [(4096, 400_000, 300_000), (10, 2000, 0)])
+def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens, links):
+    monkeypatch.setattr(jaccard_join, "SMALL_LINKS", links)
     monkeypatch.setattr(jaccard_join, "LIST_PAIRS", list_pairs)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block_tokens)
     rows = ODD + similar_rows() + [(600, "a b c"), (601, "A  B\tc"), (602, "a b"), (603, "a b c d e"), (604, "a b c d e")]
@@ -448,6 +449,62 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
         assert np.mean([r["predicted"] == r[label] for r in asked]) >= floor
 
 
+def labelled_texts():
+    rng = np.random.default_rng(2)
+    words = [f"w{rng.integers(10**6)}" for _ in range(60)]
+    texts = [" ".join([*rng.choice(words, 12), *["Nasty!"] * (k % 3 == 0), *["word", "word"] * (k % 2)]) for k in range(120)]
+    return texts, [int(k % 3 == 0) for k in range(120)]
+
+
+def test_quality_scores_by_hand():
+    """The mean over all tokens of the means of their parts' vectors, through the logistic."""
+    texts, labels = labelled_texts()
+    values, bias = quality.train(texts, labels)
+    score = quality.scorer((values, bias))
+    for text in [*texts[:20], "unseen ünseen", "", "a a a"]:
+        tokens = text.split()
+        tokens += ["\0repeat"] * sum(a == b for a, b in zip(tokens, tokens[1:]))
+        means = []
+        for t in tokens:
+            grams = [b"\0repeat"] if t == "\0repeat" else [b"<" + t.encode() + b">", *sorted({(b"<" + t.encode() + b">")[i : i + n] for n in (2, 3) for i in range(len(t.encode()) + 3 - n)})]
+            means.append(sum(values[zlib.crc32(g) % len(values)] for g in grams) / len(grams))
+        z = bias + (sum(means) / len(means) if means else 0.0)
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_toxicity_scores_by_hand():
+    """The machine's sum over all pairs of terms, one by one."""
+    texts, labels = labelled_texts()
+    buckets, weight, vector, bias = toxicity.train(texts, labels)
+    at = {b: k for k, b in enumerate(buckets.tolist())}
+    score = toxicity.scorer((buckets, weight, vector, bias))
+    for text in [*texts[:20], "unseen words", ""]:
+        counts = defaultdict(int)
+        for word in text.lower().split():
+            word = word.strip(toxicity.MARKS)
+            for form in [b"w" + word.encode()] * bool(word) + [b"p" + word[:n].encode() for n in (4, 5) if len(word) > n]:
+                b = zlib.crc32(form) % toxicity.BUCKETS
+                if b in at:
+                    counts[at[b]] += 1
+        terms = [(k, 1 + np.log(n)) for k, n in counts.items()]
+        z = bias + sum(weight[k] * x for k, x in terms) + sum(vector[i] @ vector[j] * x * y for p, (i, x) in enumerate(terms) for j, y in terms[:p])
+        assert score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    from namefold.llm.learning import labelled_sample
+
+    rows = [(k, f"text {k} " + "x" * (10 * k)) for k in range(20)] + [(3, "another text of three"), (3, "text 3 again"), (30, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(25)] + [(4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    texts, found = labelled_sample(docs_of(rows), labels, "toxic", F.lit(True), 100)
+    assert len(texts) == 20 and min(t for i, t in rows if i == 3) in texts and sum(found) == 11
+    few, _ = labelled_sample(docs_of(rows), labels, "toxic", F.lit(True), 100, most_bytes=300)
+    assert few and sum(len(t.encode()) for t in few) <= 300 and set(few) < set(texts)
+    assert len(labelled_sample(docs_of(rows), labels, "toxic", F.lit(True), 4)[0]) <= 4
+
+
 def test_scores_of_odd_rows(spark, docs_of):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (4, None, None), (4, 1, 1)], "doc_id long, quality int, toxic int")
     for operator in (quality, toxicity):
