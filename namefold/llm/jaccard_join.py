@@ -38,6 +38,8 @@ from namefold.llm.common import join_hot, mix, only, shuffle_partitions, slices,
 CHUNK_TOKENS = 750_000
 #: Index entries of one part, which one task sorts.
 PART_ENTRIES = 750_000
+#: Entries of one token's list that a part may hold; tokens that come more often have their lists made by joins.
+HOT_LIST = 150_000
 #: A token is frequent if it comes so often, and at most so many (16 MB) are, those that come most. Other tokens
 #: are ordered by hash, which changes no result: any one order of all tokens is exact.
 FREQUENT, MOST_FREQUENT = 4, 1 << 21
@@ -128,8 +130,9 @@ def _short(token: np.ndarray, parts: int) -> np.ndarray:
     return part << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
 
 
-def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
-    """Short tokens that come FREQUENT times or more over all documents, rarest first; the MOST_FREQUENT ones at most."""
+def frequent_tokens(docs: DataFrame, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(token, count) of the short tokens that come FREQUENT times or more over all documents, rarest first; the
+    MOST_FREQUENT ones at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -174,22 +177,25 @@ def frequent_tokens(docs: DataFrame, width: int, parts: int) -> np.ndarray:
             break
         bar = step
     if bar is None:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     most = counted.where(F.col("step") >= bar).select("token", "n").toArrow()
     token, n = most.column("token").to_numpy(), most.column("n").to_numpy()
-    return token[np.lexsort((token, n))].astype(np.uint64)
+    order = np.lexsort((token, n))
+    return token[order].astype(np.uint64), n[order]
 
 
-def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -> DataFrame:
+def index_blobs(docs: DataFrame, width: int, frequent: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
     """Prefix entries dealt by token over parts, as one row per chunk of texts and part.
 
-    ``frequent`` holds the frequent short tokens of these parts, rarest first. Equal sets of a chunk are indexed once.
+    ``frequent`` holds the frequent short tokens of these parts, rarest first, and their counts. Equal sets of a chunk
+    are indexed once. Entries of tokens that come more than HOT_LIST times are dealt by node instead, over as many more
+    parts, with the token's place among the frequent ones.
     """
-    by_value = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_value], by_value + 1))
+    by_value = np.argsort(frequent[0])
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[0][by_value], by_value + 1, frequent[1][by_value] > HOT_LIST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = shared.value
+        values, ranks, hot = shared.value
         held: dict[int, np.ndarray] = {}
 
         def entries() -> pa.RecordBatch:
@@ -206,11 +212,17 @@ def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -
             pos = np.arange(len(token)) - first[owner]
             prefix = pos <= (size - (3 * size + 3) // 4)[owner]
             token, owner, pos = token[prefix], owner[prefix], pos[prefix]
-            part = (_short(token, parts) >> np.uint64(32)).astype(np.int64)
+            node = np.array(list(held), dtype=np.int64)
+            short = _short(token, parts)
+            part = (short >> np.uint64(32)).astype(np.int64)
+            if hot.any():
+                at = np.minimum(np.searchsorted(values, short), len(values) - 1)
+                often = hot[at] & (values[at] == short)
+                token = np.where(often, at.astype(np.uint64), token)
+                part = np.where(often, parts + node[owner] % parts, part)
             order = np.argsort(part, kind="stable")
             token, owner, pos, part = token[order], owner[order], pos[order], part[order]
             which, cut = np.unique(part, return_index=True)
-            node = np.array(list(held), dtype=np.int64)
             rows = []
             for p, a, b in zip(which.tolist(), cut, np.append(cut[1:], len(part)), strict=True):
                 mine, local = np.unique(owner[a:b], return_inverse=True)
@@ -238,7 +250,8 @@ def index_blobs(docs: DataFrame, width: int, frequent: np.ndarray, parts: int) -
 def lists(blobs: DataFrame, parts: int) -> DataFrame:
     """From the index lists: pivot pairs (kind 0) and the entries of lists of three and more (kind 1).
 
-    Lists of a part with the same members are one, with each member's least position.
+    Lists of a part with the same members are one, with each member's least position. Entries of hot tokens are
+    passed on as they are (kind 2).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +260,10 @@ def lists(blobs: DataFrame, parts: int) -> DataFrame:
             for row in batch.to_pylist():
                 token, owner, pos, size = (np.frombuffer(row[c], dtype=np.uint32) for c in ("token", "owner", "pos", "size"))
                 node = np.frombuffer(row["node"], dtype=np.int64)
+                if row["part"] >= parts:
+                    lid = mix(token + np.uint64(parts)).view(np.int64)
+                    yield from out(2, node[owner], node[owner], lid, size[owner].astype(np.int64), pos.astype(np.int64))
+                    continue
                 held.setdefault(row["part"], []).append((token, node[owner], size[owner].astype(np.int64), pos.astype(np.int64)))
         for part in list(held):
             yield from one(part, *(np.concatenate(x) for x in zip(*held.pop(part), strict=True)))
@@ -290,6 +307,17 @@ def lists(blobs: DataFrame, parts: int) -> DataFrame:
     return blobs.repartition(parts, "part").mapInArrow(run, "kind int, p long, x long, lid long, n long, pos long")
 
 
+def hot_lists(found: DataFrame) -> DataFrame:
+    """What ``lists`` gives of the other tokens, for the entries of the hot ones (kind 2), by joins that split them."""
+    rows = stored(found.where("kind = 2").groupBy("lid", F.col("x").alias("node")).agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+    pivots = rows.groupBy("lid").agg(F.min(F.struct("node", "n", "pos")).alias("lead"), F.count("*").alias("members"))
+    both = stored(join_hot(rows, pivots, "lid", "members", rows.count()))
+    p, m = F.col("lead.node").alias("p"), F.col("lead.n")
+    room = F.least(F.col("n") - F.col("pos"), m - F.col("lead.pos"))
+    pairs = both.where((F.col("node") != F.col("lead.node")) & (room >= needed(F.col("n"), m))).select(F.lit(0).alias("kind"), p, F.col("node").alias("x"), *(F.lit(0).cast("long").alias(c) for c in ("lid", "n", "pos")))
+    return pairs.unionByName(both.where("members > 2").select(F.lit(1).alias("kind"), p, F.col("node").alias("x"), "lid", "n", "pos"))
+
+
 def _sent(docs: DataFrame, routes: DataFrame, nodes: DataFrame, width: int, total: int) -> DataFrame:
     """(key, chunk, side, comp, node, hashes): the set of each node, once for each of its ``total`` routes.
 
@@ -445,14 +473,27 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, cros
 
 
 def cluster_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Links (u, v) among the distinct ``members`` (p, node, n, comp) of each pivot p, found in blocks of sets."""
+    """Links (u, v) among the distinct ``members`` (p, node, n, comp) of each pivot p, found in blocks of sets.
+
+    The sets of a pivot's largest component go to one block each, where all others meet them; the others also
+    meet among themselves, each pair of blocks once. So only sets outside the largest component are sent often.
+    """
     spark = docs.sparkSession
-    per = members.groupBy("p").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.count("*").alias("members"))
+    sizes = members.groupBy("p", "comp").agg(F.sum("n").alias("tokens"), F.count("*").alias("m"))
+    per = sizes.groupBy("p").agg(F.max(F.struct("m", "comp", "tokens")).alias("top"), F.sum("tokens").alias("tokens"), F.sum("m").alias("members"))
+    per = per.select("p", "members", F.col("top.comp").alias("top"), F.ceil(F.col("top.tokens") / BLOCK_TOKENS).alias("large"), F.ceil((F.col("tokens") - F.col("top.tokens")) / BLOCK_TOKENS).alias("small"))
     total = members.count()
-    dealt = join_hot(members, per, "p", "members", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = join_hot(members, per, "p", "members", total)
+    in_top = F.col("comp") == F.col("top")
+    one = dealt.where(in_top).select("node", F.col("p").alias("key"), F.pmod(F.xxhash64("node"), F.col("large")).alias("chunk"), F.lit(0).cast("long").alias("side"), "comp")
+    rest = dealt.where(~in_top).withColumn("block", F.pmod(F.xxhash64("node"), F.col("small")))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cross = rest.select("node", F.col("p").alias("key"), span("large").alias("chunk"), F.lit(1).cast("long").alias("side"), "comp")
+    met = rest.withColumn("other", span("small"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    routes = met.select("node", F.col("p").alias("key"), (low * F.col("blocks") + high).alias("chunk"), (F.when(low == high, 2).otherwise((F.col("block") == high).cast("int"))).cast("long").alias("side"), "comp")
+    among = met.select("node", F.col("p").alias("key"), (F.col("large") + low * F.col("small") + high).alias("chunk"), (F.when(low == high, 2).otherwise((F.col("block") == high).cast("int"))).cast("long").alias("side"), "comp")
+    routes = stored(one.unionByName(cross).unionByName(among))
+    total = routes.count()
     sent = _sent(docs, routes, nodes, width, total)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,6 +611,8 @@ def _roots(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
     parts = max(shuffle_partitions(spark), -(-total * 27 // 100 // PART_ENTRIES))
     frequent = frequent_tokens(docs, width, parts)
     found = stored(lists(index_blobs(docs, width, frequent, parts), parts))
+    if (frequent[1] > HOT_LIST).any():
+        found = stored(found.where("kind < 2").unionByName(hot_lists(found)))
     pairs = stored(found.where("kind = 0").select("p", "x").distinct())
     checked = verify(docs, pairs, nodes, width, differences=True)
     tied = stored(components(_linked(checked)))
