@@ -145,8 +145,9 @@ def similar_rows(n=70, words=80, seed=5):
     return rows + [(500 + k, " ".join(base[:30] + [f"z{k}y{j}" for j in range(30)])) for k in range(20)]
 
 
-@pytest.mark.parametrize("list_pairs, block_tokens, links", [(4096, 400_000, 300_000), (10, 2000, 0)])
-def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens, links):
+@pytest.mark.parametrize("list_pairs, block_tokens, links, hot", [(4096, 400_000, 300_000, 150_000), (10, 2000, 0, 20)])
+def test_jaccard_join(spark, docs_of, monkeypatch, list_pairs, block_tokens, links, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", hot)
     monkeypatch.setattr(jaccard_join, "SMALL_LINKS", links)
     monkeypatch.setattr(jaccard_join, "LIST_PAIRS", list_pairs)
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block_tokens)
@@ -164,6 +165,22 @@ def test_jaccard_join_through_rows_without_id(spark, docs_of):
     assert {(r["doc_id"], r["component_id"]) for r in jaccard_join.join(docs_of(rows[:3])).collect()} == set(got.items())
 
 
+def test_derived_answers_equal_verified_ones(spark, docs_of):
+    """Overlaps told by a pivot's answers and differences are those of the whole sets."""
+    docs = docs_of(similar_rows(n=14) + [(None, similar_rows(n=14)[3][1] + " tail")]).select("doc_id", "text")
+    nodes = jaccard_join._nodes(jaccard_join.sets(docs, 5)).cache()
+    p = next(r["node"] for r in nodes.collect() if r["rep"] == 200)
+    others = [r["node"] for r in nodes.collect() if r["node"] != p]
+    kind = "p long, x long"
+    checked = jaccard_join.verify(docs, spark.createDataFrame([(p, x) for x in others], kind), nodes, 5, differences=True)
+    rows = checked.collect()
+    asked = [(y["x"], x["x"], p, y["inter"]) for x in rows if x["gone"] is not None for y in rows if y["x"] != x["x"]]
+    assert len(asked) > 20
+    told = jaccard_join.derive(docs, spark.createDataFrame(asked, "y long, x long, via long, shared long"), checked, nodes, 5)
+    whole = jaccard_join.verify(docs, spark.createDataFrame([(y, x) for y, x, _, _ in asked], kind), nodes, 5)
+    assert rows_of(told) == rows_of(whole) and told.count() == len(asked)
+
+
 def one_of_each_by_hand(rows):
     """What stays, as sorted rows: of each component the least id, nulls last."""
     left = defaultdict(list)
