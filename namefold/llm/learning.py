@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,6 +36,13 @@ class Remembered(dict):
             self.clear()
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system; texts and features leave many small pieces behind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(modulus: int) -> F.Column:
     """crc32 of doc_id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))

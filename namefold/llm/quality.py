@@ -21,7 +21,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from namefold.llm.learning import Remembered, fold, labelled_sample, scored
+from namefold.llm.learning import Remembered, fold, give_back, labelled_sample, scored
 
 BUCKETS, DIMENSION, EPOCHS, RATE, BATCH = 1 << 17, 8, 6, 4.0, 32
 #: Documents learned from, at most.
@@ -121,4 +121,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     held = fold(FOLDS) == HELD_OUT
     model = train(*labelled_sample(docs, labels, "quality", ~held, sample))
+    give_back()
     return scored(docs, scorer, model, held, THRESHOLD)

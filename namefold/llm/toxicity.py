@@ -23,13 +23,13 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from namefold.llm.learning import Remembered, fold, labelled_sample, scored
+from namefold.llm.learning import Remembered, fold, give_back, labelled_sample, scored
 
 BUCKETS, FACTORS, EPOCHS, RATE, BATCH, DECAY = 1 << 22, 4, 15, 0.1, 32, 1e-3
 #: Documents learned from, at most; a bucket is in so many of those documents at least.
 SAMPLE, LEAST = 6000, 3
 #: Words that the driver remembers while it learns.
-TRAIN_WORDS = 100_000
+TRAIN_WORDS = 20_000
 #: Buckets whose chi-square is at most CHANCE * ln(number of buckets) learn weights and vectors at these parts of RATE.
 CHANCE, SLOW_WEIGHT, SLOW_VECTOR = 2.0, 0.03, 0.2
 #: Spread of the vectors at the start, and the squared gradients that each bucket starts with.
@@ -147,6 +147,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     held = fold(FOLDS) == HELD_OUT
     model = train(*labelled_sample(docs, labels, "toxic", ~held, sample))
+    give_back()
     return scored(docs, scorer, model, held, THRESHOLD)
 
 
@@ -155,6 +156,7 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     as 0. Rows are judged by their own text, so of rows with one doc_id some may go; the other cases are the module's."""
     held = fold(FOLDS) == HELD_OUT
     model = train(*labelled_sample(docs, labels, "toxic", ~held, sample))
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):  # noqa: ANN001, ANN202
