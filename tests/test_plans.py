@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from namefold.operators import content
+from namefold.operators import content, structure
 from namefold.operators.project import Project
-from namefold.plans.adapters import as_records, shop
+from namefold.plans.adapters import as_records, graph, shop
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,10 @@ def test_null_keys_meet_none_and_equal_keys_all(spark):
     a, b = side([("a1", ["x", None]), ("a2", ["x", None]), ("a3", None), ("a4", ["x", "null"])]), side([("b1", ["x", None]), ("b2", None), ("b3", ["x"])])
     rows = fingerprint_pairs(a, b, 0.9, spec="both").collect()
     assert {(r["a"], r["b"], round(r["confidence"], 6)) for r in rows} == {("a1", "b1", 0.636396), ("a2", "b1", 0.636396)}
+
+def test_places_become_rows_behind_the_pairs(spark):
+    """Lists meet whole: no shuffle by a place, and the mapping meets sums of votes."""
+    g = graph(spark, SF, True)
+    m = structure.Matcher("anns", 3, structure.position_vote(structure._list("anns"), 0.7, 0.05, 0.93, 2))
+    text = plan(m.candidates(*g.projects(), g.partial("o")))
+    assert "InMemoryTableScan" not in text and "pos#" not in text
