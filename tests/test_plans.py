@@ -51,3 +51,32 @@ def test_places_become_rows_behind_the_pairs(spark):
     m = structure.Matcher("anns", 3, structure.position_vote(structure._list("anns"), 0.7, 0.05, 0.93, 2))
     text = plan(m.candidates(*g.projects(), g.partial("o")))
     assert "InMemoryTableScan" not in text and "pos#" not in text
+
+
+def test_methods_meet_as_whole_lists(spark, monkeypatch):
+    """A class's methods are not dealt by their signatures, and what led to the pairs is stored before partners meet."""
+    from namefold.operators import members
+
+    moved = []
+    monkeypatch.setattr(members, "settled", lambda df: moved.append(plan(df)) or df)
+    g = graph(spark, SF, True)
+    text = plan(next(members.paired_by_signature(*g.projects(), g.partial("o"), body_hash=True, field="body_lx")))
+    assert len(moved) == 1 and "body_lx" in text and "calls_full" not in text.split("Scan")[0]
+    assert "Exchange hashpartitioning(sig#" not in text and "Window" not in text
+
+
+def test_lists_of_methods_keep_the_order_of_hashes_and_the_last_of_a_signature(spark, monkeypatch):
+    from namefold.operators import members
+    from namefold.plans.adapters import method
+
+    def build(name, *methods):
+        made = F.array(*(method(sig=F.lit(sig), bha=F.lit(bha), body_lx=F.array(F.lit(body))) for sig, bha, body in methods))
+        return Project(as_records(spark.range(1).select(F.lit(name).alias("id"), made.alias("methods"))), keep=False)
+
+    a = build("LX/a;", ("f(LX/x;)V", "h", "1"), ("g()V", "", "2"), ("lost()V", "h", "3"), ("gone()V", "h", "4"), ("k(LX/q;)V", "", "5"))
+    b = build("LX/b;", ("f(LX/y;)V", "h", "p"), ("free()V", "h", "q"), ("g()V", "", "r"), ("g()V", "h", "s"), ("other()V", "h", "t"), ("k(LX/q;)V", "h", "u"))
+    mapping = spark.createDataFrame([("LX/a;", "LX/b;"), ("LX/x;", "LX/y;")], "a string, b string")
+    found = lambda hashed: {(r["x"][0], r["y"][0]) for part in members.paired_by_signature(a, b, mapping, hashed, "body_lx") for r in part.collect()}
+    assert found(False) == {("1", "p"), ("2", "s"), ("5", "u")}
+    monkeypatch.setattr(members, "PART", 1)  # more parts than pairs
+    assert found(True) == {("1", "p"), ("2", "s"), ("5", "u"), ("3", "q"), ("4", "t")}
