@@ -80,3 +80,11 @@ def test_lists_of_methods_keep_the_order_of_hashes_and_the_last_of_a_signature(s
     assert found(False) == {("1", "p"), ("2", "s"), ("5", "u")}
     monkeypatch.setattr(members, "PART", 1)  # more parts than pairs
     assert found(True) == {("1", "p"), ("2", "s"), ("5", "u"), ("3", "q"), ("4", "t")}
+
+
+def test_metadata_is_made_without_lines(spark):
+    """Its key has no part of a line, so lines are only asked whether there are any, and nothing is kept in memory."""
+    a, b = shop(spark, SF)
+    m = next(m for m in content.optional_content_matchers() if m.id == "kotlin_debug_metadata")
+    text = plan(m.candidates(a, b))
+    assert "InMemoryTableScan" not in text and "l_partkey" not in text and text.count("Exchange hashpartitioning(key#") <= 2
