@@ -88,3 +88,11 @@ def test_metadata_is_made_without_lines(spark):
     m = next(m for m in content.optional_content_matchers() if m.id == "kotlin_debug_metadata")
     text = plan(m.candidates(a, b))
     assert "InMemoryTableScan" not in text and "l_partkey" not in text and text.count("Exchange hashpartitioning(key#") <= 2
+
+
+def test_equal_enums_are_dealt_once_and_not_grouped(spark):
+    a, b = shop(spark, SF)
+    m = next(m for m in content.content_matchers() if m.id == "enum_value_names")
+    text = plan(m.candidates(a, b))
+    assert "InMemoryTableScan" not in text
+    assert text.count("Exchange hashpartitioning(key#") <= 2 and "Exchange hashpartitioning(a#" not in text
