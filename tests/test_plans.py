@@ -96,3 +96,11 @@ def test_equal_enums_are_dealt_once_and_not_grouped(spark):
     text = plan(m.candidates(a, b))
     assert "InMemoryTableScan" not in text
     assert text.count("Exchange hashpartitioning(key#") <= 2 and "Exchange hashpartitioning(a#" not in text
+
+
+def test_equal_lines_are_dealt_once_and_not_grouped(spark):
+    a, b = shop(spark, SF)
+    m = next(m for m in content.content_matchers() if m.id == "line_refs_ms")
+    text = plan(m.candidates(a, b))
+    assert "InMemoryTableScan" not in text
+    assert text.count("Exchange hashpartitioning(key#") <= 2 and "Exchange hashpartitioning(a#" not in text
