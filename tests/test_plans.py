@@ -104,3 +104,11 @@ def test_equal_lines_are_dealt_once_and_not_grouped(spark):
     text = plan(m.candidates(a, b))
     assert "InMemoryTableScan" not in text
     assert text.count("Exchange hashpartitioning(key#") <= 2 and "Exchange hashpartitioning(a#" not in text
+
+
+def test_buckets_of_equal_string_sets_are_dealt_once(spark):
+    a, b = shop(spark, SF, True)
+    m = next(m for m in content.content_matchers() if m.id == "identical_strings")
+    text = plan(m.candidates(a, b))
+    assert "InMemoryTableScan" not in text
+    assert text.count("Exchange hashpartitioning(bucket#") == 1 and "Exchange hashpartitioning(cid#" not in text
