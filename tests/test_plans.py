@@ -112,3 +112,10 @@ def test_buckets_of_equal_string_sets_are_dealt_once(spark):
     text = plan(m.candidates(a, b))
     assert "InMemoryTableScan" not in text
     assert text.count("Exchange hashpartitioning(bucket#") == 1 and "Exchange hashpartitioning(cid#" not in text
+
+
+def test_walked_methods_are_paired_once(spark):
+    """The votes of a walk read stored pairs; the lines that methods come from are not in their plan."""
+    g = graph(spark, SF, True)
+    text = plan(structure.method_walk()(*g.projects(), g.partial("op")))
+    assert "l_linenumber" not in text and "Window" in text
