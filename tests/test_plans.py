@@ -119,3 +119,15 @@ def test_walked_methods_are_paired_once(spark):
     g = graph(spark, SF, True)
     text = plan(structure.method_walk()(*g.projects(), g.partial("op")))
     assert "l_linenumber" not in text and "Window" in text
+
+
+def test_neighbours_vote_in_parts(spark, monkeypatch):
+    """Pairs are counted a part at a time where their a is, whatever the number of parts."""
+    g = graph(spark, SF)
+    moved = []
+    monkeypatch.setattr(structure, "settled", lambda df: moved.append(plan(df)) or df.localCheckpoint())
+    vote = structure.neighbour_vote(2, 1, 0.02, 0.92, structure.EDGE_WEIGHTS)
+    whole = set(vote(*g.projects(), g.partial("csp")).collect())
+    assert len(moved) == 3 and "Exchange hashpartitioning(a#" in moved[2] and moved[2].count("Exchange hashpartitioning(a#") == 1
+    monkeypatch.setattr(structure, "VOTES", 60_000)
+    assert whole and set(vote(*g.projects(), g.partial("csp")).collect()) == whole and len(moved) > 6
