@@ -122,7 +122,7 @@ def bucket_disambig(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("bucket_disambig", bucket_disambig, _SHOP + f""",
     left4 AS (SELECT *, list_distinct(list_concat({_set("'p' || (x.p % 500)")}, {_set("'s' || (x.s % 13)")}, ['t' || left(pr, 1)])) AS rs, c % 300 AS folder FROM base WHERE k % 4 = 0),
     known AS (SELECT DISTINCT c % 300 AS folder FROM base WHERE k % 4 <> 0),
-    full4 AS (SELECT folder, count(*) AS n FROM left4 JOIN known USING (folder) WHERE side = 1 GROUP BY folder HAVING count(*) BETWEEN 2 AND 100),
+    full4 AS (SELECT folder, count(*) AS n FROM left4 JOIN known USING (folder) WHERE side = 1 GROUP BY folder HAVING count(*) >= 2),
     scored AS (SELECT x.cid AS a, y.cid AS b, {_SCORE} AS score FROM left4 x JOIN full4 USING (folder) JOIN left4 y USING (folder) WHERE x.side = 0 AND y.side = 1),
     best AS (SELECT *, row_number() OVER w AS r, score - lead(score) OVER w AS ahead FROM scored WINDOW w AS (PARTITION BY a ORDER BY score DESC, b DESC))
     SELECT a, b, round(0.6 + ahead, 6) AS confidence FROM best WHERE r = 1 AND score >= 0.75 AND ahead >= 0.18""")
