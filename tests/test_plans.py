@@ -131,3 +131,13 @@ def test_neighbours_vote_in_parts(spark, monkeypatch):
     assert len(moved) == 3 and "Exchange hashpartitioning(a#" in moved[2] and moved[2].count("Exchange hashpartitioning(a#") == 1
     monkeypatch.setattr(structure, "VOTES", 60_000)
     assert whole and set(vote(*g.projects(), g.partial("csp")).collect()) == whole and len(moved) > 6
+
+
+def test_validators_over_large_tables_are_stored_one_by_one(spark, monkeypatch):
+    """What combines their scores has no shuffle of a validator behind it."""
+    from namefold.operators import validators as V
+
+    g = graph(spark, SF)
+    scored = V.scores(g.shifted("o"), *g.projects(), g.partial("csp"))
+    assert "Exchange" not in plan(scored) and plan(scored).count("FileScan") == len(V.VALIDATORS)
+    assert scored.groupBy("validator").count().where("count = 1500").count() == len(V.VALIDATORS)
